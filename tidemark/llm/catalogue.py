@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.nearest import nearest_in_time
 from tidemark.llm.survivors import skyline_survivors
 from tidemark.llm.terms import mark_terms, term_counts
+from tidemark.llm.turns import speaker_turns
 from tidemark.operators.asknown import as_known
 from tidemark.plans.known import link_history, stamped_transcripts
 from tidemark.sources import read_table
@@ -98,5 +99,26 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found}
+def call_turns(spark: SparkSession, folder: str) -> DataFrame:
+    calls = read_table(spark, folder, "transcripts")
+    sections = F.explode(
+        F.array(
+            F.struct(F.lit("presentation").alias("section"), F.col("presentation_text").alias("text")),
+            F.struct(F.lit("qa").alias("section"), F.col("qa_text").alias("text")),
+        )
+    )
+    texts = calls.select("event_id", sections.alias("s")).select("event_id", "s.section", "s.text")
+    return speaker_turns(texts, "event_id", "section", "text")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return call_turns(spark, folder).select("event_id", "section", "turn_no", "speaker", "n_words")
+
+
+def p7_turns(spark: SparkSession, folder: str) -> DataFrame:
+    turns = call_turns(spark, folder).withColumn("utterance", F.array_join("words", " "))
+    return turns.select("event_id", "section", "turn_no", "speaker", "utterance", *[F.round(c, 3).alias(c) for c in ("start_s", "end_s")])
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found, "p7_found": p7_found, "p7_turns": p7_turns}
 ORACLES = {"p2_found": P2_SQL, "p3_found": P3_SQL, "p3_counts": P3_COUNTS_SQL}
