@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.containers import fill_containers, token_sizes
+from tidemark.llm.leaks import leaked_items
 from tidemark.llm.nearest import nearest_in_time
+from tidemark.llm.reading import reading_bands
 from tidemark.llm.survivors import skyline_survivors
 from tidemark.llm.terms import mark_terms, term_counts
 from tidemark.llm.turns import speaker_turns
@@ -120,5 +123,26 @@ def p7_turns(spark: SparkSession, folder: str) -> DataFrame:
     return turns.select("event_id", "section", "turn_no", "speaker", "utterance", *[F.round(c, 3).alias(c) for c in ("start_s", "end_s")])
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found, "p7_found": p7_found, "p7_turns": p7_turns}
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = token_sizes(read_table(spark, folder, "documents"), "doc_id", "text")
+    return fill_containers(sizes, 2048).withColumnRenamed("id", "doc_id")
+
+
+def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    found = leaked_items(
+        read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items"), ("doc_id", "text"), ("item_id", "passage")
+    )
+    return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    bands = reading_bands(read_table(spark, folder, "documents"), read_table(spark, folder, "reading_labels"))
+    return bands.select(F.col("id").alias("doc_id"), F.col("band").cast("bigint").alias("band"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found, "p7_found": p7_found, "p7_turns": p7_turns, "p8_containers": p8_containers, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found}
 ORACLES = {"p2_found": P2_SQL, "p3_found": P3_SQL, "p3_counts": P3_COUNTS_SQL}
