@@ -7,13 +7,13 @@ on the graded documents. Language is decided by function words, whatever the rec
 
 from __future__ import annotations
 
+import html
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ _WORD = regex.compile(r"\p{L}+")
 
 
 def words_of(text: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(_TAG.sub(" ", text))]
+    return [w.lower() for w in _WORD.findall(unicodedata.normalize("NFKC", html.unescape(_TAG.sub(" ", text))))]
 
 
 def is_english(words: list[str]) -> bool:
@@ -75,6 +75,23 @@ def _profile(grades, least_words: int, least_pieces: int, schema: pa.Schema):
     return profiles
 
 
+def boundary(quantiles: np.ndarray, above: np.ndarray) -> tuple[int, float]:
+    """The quantile, and the value in the middle of its widest gap, that contradict the fewest graders."""
+    best = None
+    for at in range(quantiles.shape[1]):
+        order = np.argsort(quantiles[:, at], kind="stable")
+        values, up = quantiles[order, at], above[order]
+        wrong = np.cumsum(up)[:-1] + (np.sum(~up) - np.cumsum(~up)[:-1])
+        gaps = np.diff(values)
+        wrong = np.where(gaps > 0, wrong, len(values) + 1)
+        if not len(gaps):
+            continue
+        i = int(np.lexsort((-gaps, wrong))[0])
+        found = (int(wrong[i]), abs(at - quantiles.shape[1] // 2), -float(gaps[i]), at, float((values[i] + values[i + 1]) / 2))
+        best = min(best, found) if best else found
+    return (best[3], best[4]) if best else (0, np.inf)
+
+
 def graded_documents(labels: DataFrame, doc_id: str, band: str, most: int) -> DataFrame:
     """id, band: the band most graders gave (ties: none), of at most `most` documents, those first by hash."""
     votes = labels.where(f"{doc_id} is not null and {band} is not null").distinct().groupBy(F.col(doc_id).alias("id"), F.col(band).cast("int").alias("band")).count()
@@ -126,10 +143,13 @@ def reading_bands(
     profile = _profile(spark.sparkContext.broadcast(known), least_words, least_pieces, schema)
     profiles = texts.mapInArrow(profile, f"id {kind.simpleString()}, q array<double>")
     seen = texts.join(agreed, "id", "left_semi").mapInArrow(profile, f"id {kind.simpleString()}, q array<double>").join(agreed, "id")
-    seen = stored(seen.select(array_to_vector("q").alias("features"), F.col("band").cast("double").alias("label")))
-    bands = [row.label for row in seen.select("label").distinct().orderBy("label").collect()]  # a few bands
-    if len(bands) < 2:
-        return profiles.select("id", F.lit(bands[0] if bands else None).cast("int").alias("band")).where("band is not null")
-    model = LogisticRegression(regParam=0.001, maxIter=200, standardization=True, family="multinomial").fit(seen)
-    vectors = profiles.select("id", array_to_vector("q").alias("features"))
-    return model.transform(vectors).select("id", F.col("prediction").cast("int").alias("band"))
+    rows = seen.select("q", "band").collect()  # at most most_labels rows
+    bands = sorted({row.band for row in rows})
+    if not bands:
+        return profiles.select("id", F.lit(None).cast("int").alias("band")).where("band is not null")
+    quantiles, given = np.array([row.q for row in rows]), np.array([row.band for row in rows])
+    band = F.lit(bands[0])
+    for low, high in zip(bands, bands[1:]):
+        at, bound = boundary(quantiles, given > low)
+        band = band + F.when(F.get("q", F.lit(at)) > bound, high - low).otherwise(0)
+    return profiles.select("id", band.cast("int").alias("band"))
