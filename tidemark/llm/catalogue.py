@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.containers import fill_containers, token_sizes
 from tidemark.llm.leaks import leaked_items
+from tidemark.llm.linkage import link_entities
 from tidemark.llm.nearest import nearest_in_time
 from tidemark.llm.reading import reading_bands
 from tidemark.llm.survivors import skyline_survivors
@@ -102,6 +103,24 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p6_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """event_id, permno, confidence. Records of one company_id describe one company and are matched together."""
+    calls = read_table(spark, folder, "transcripts").select("event_id", "company_id", "cusip", "ticker", "isin", "company_name")
+    unit = F.coalesce(company_key().cast("string"), F.concat(F.lit("event "), "event_id"))
+    calls = calls.withColumn("unit", unit)
+    names = read_table(spark, folder, "crsp_msenames").select(F.col("permno").alias("entity"), "ncusip", "ticker", "comnam")
+    links = link_entities(calls, names)
+    return (
+        calls.where("event_id is not null").select("event_id", "unit").distinct().join(links, "unit")
+        .groupBy("event_id", F.col("entity").cast("bigint").alias("permno"))
+        .agg(F.max("confidence").alias("confidence"))
+    )
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_matches(spark, folder).select("event_id", "permno")
+
+
 def call_turns(spark: SparkSession, folder: str) -> DataFrame:
     calls = read_table(spark, folder, "transcripts")
     sections = F.explode(
@@ -144,5 +163,5 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return bands.select(F.col("id").alias("doc_id"), F.col("band").cast("bigint").alias("band"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found, "p7_found": p7_found, "p7_turns": p7_turns, "p8_containers": p8_containers, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found, "p6_found": p6_found, "p6_matches": p6_matches, "p7_found": p7_found, "p7_turns": p7_turns, "p8_containers": p8_containers, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found}
 ORACLES = {"p2_found": P2_SQL, "p3_found": P3_SQL, "p3_counts": P3_COUNTS_SQL}
