@@ -121,7 +121,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_matches(spark, folder).select("event_id", "permno")
 
 
-def call_turns(spark: SparkSession, folder: str) -> DataFrame:
+def call_turns(spark: SparkSession, folder: str, utterances: bool = True) -> DataFrame:
     calls = read_table(spark, folder, "transcripts")
     sections = F.explode(
         F.array(
@@ -130,11 +130,11 @@ def call_turns(spark: SparkSession, folder: str) -> DataFrame:
         )
     )
     texts = calls.select("event_id", sections.alias("s")).select("event_id", "s.section", "s.text")
-    return speaker_turns(texts, "event_id", "section", "text")
+    return speaker_turns(texts, "event_id", "section", "text", utterances=utterances)
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return call_turns(spark, folder).select("event_id", "section", "turn_no", "speaker", "n_words")
+    return call_turns(spark, folder, utterances=False).select("event_id", "section", "turn_no", "speaker", "n_words")
 
 
 def p7_turns(spark: SparkSession, folder: str) -> DataFrame:

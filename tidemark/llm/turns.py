@@ -99,24 +99,27 @@ def spoken_words(utterance: Column) -> Column:
 
 
 def labelled_pieces(texts: DataFrame, event: str, section: str, text: str, gap: float = 30.0) -> DataFrame:
-    """One row per piece: event, section, pos, kind (operator, unidentified, person), first, last, words, clock."""
+    """One row per piece: event, section, version (length and hash of the text), pos, clock, kind
+    (operator, unidentified, person), first, last, n (words), words."""
     marked = F.regexp_replace(
         F.regexp_replace(text, "\r\n?", "\n"), _START, f"{_PIECE}$1$4{_FIELD}$2$3$5{_FIELD}"
     )
-    pieces = texts.select(event, section, F.split(marked, _PIECE).alias("__pieces"))
+    version = F.struct(F.length(text).alias("length"), F.xxhash64(text).alias("hash"))
+    pieces = texts.select(event, section, version.alias("version"), F.split(marked, _PIECE).alias("__pieces"))
     clocks = F.transform("__pieces", lambda p: _seconds(F.regexp_extract(p, _CLOCK, 0)))
     pieces = pieces.withColumn("__clock", _repaired(gap)(clocks))
-    pieces = pieces.select(event, section, F.posexplode(F.arrays_zip("__pieces", "__clock")).alias("pos", "__z"))
+    pieces = pieces.select(event, section, "version", F.posexplode(F.arrays_zip("__pieces", "__clock")).alias("pos", "__z"))
     part = F.split(F.col("__z.__pieces"), _FIELD)
     pieces = pieces.select(
         event,
         section,
+        "version",
         "pos",
         F.col("__z.__clock").alias("clock"),
         F.trim(F.regexp_replace(F.when(F.size(part) == 3, part[1]).otherwise(F.lit("")), r"\s+", " ")).alias("label"),
         F.when(F.size(part) == 3, part[2]).otherwise(F.col("__z.__pieces")).alias("said"),
     ).where("pos > 0 or said rlike '[\\\\p{L}\\\\p{N}]'")
-    pieces = pieces.withColumn("words", spoken_words(F.col("said")))
+    pieces = pieces.withColumn("words", spoken_words(F.col("said"))).withColumn("n", F.size("words"))
     name = F.lower(F.regexp_replace("label", rf" (?:- .*|\(.*\))$|, (?:{_ROLE})$", ""))
     pieces = pieces.withColumn("name", name)
     kind = (
@@ -129,32 +132,37 @@ def labelled_pieces(texts: DataFrame, event: str, section: str, text: str, gap:
     return pieces.select(
         event,
         section,
+        "version",
         "pos",
         "clock",
         "kind",
         F.when((F.col("kind") == "person") & F.col("name").contains(" "), F.substring_index("name", " ", 1)).alias("first"),
         F.when(F.col("kind") == "person", F.substring_index("name", " ", -1)).alias("last"),
+        "n",
         "words",
     )
 
 
-def speaker_turns(texts: DataFrame, event: str, section: str, text: str, gap: float = 30.0) -> DataFrame:
-    """One row per turn: event, section, turn_no, speaker, n_words, words, start_s, end_s.
+def speaker_turns(texts: DataFrame, event: str, section: str, text: str, gap: float = 30.0, utterances: bool = True) -> DataFrame:
+    """One row per turn: event, section, turn_no, speaker, n_words, start_s, end_s, and the
+    words unless utterances is false (nothing but labels and counts is shuffled then).
 
     texts has one row per event and section; if an event has several texts for a section the longest
-    counts (of equally long ones the greatest). speaker is `first last` in lower case by the fullest
+    counts (of equally long ones any, but always the same). speaker is `first last` in lower case by the fullest
     label the event has for the person, `operator`, or `unidentified` (also for words before the
     first label). A short label that fits several persons means the one who spoke last, else the next
     to speak. start_s and end_s are seconds of the repaired clock, null without stamps. Null events,
     and null or empty texts, give no rows; very long texts are processed whole; other columns are
     left out.
     """
-    one = (
-        texts.where(F.col(event).isNotNull() & F.col(section).isNotNull() & F.col(text).isNotNull())
-        .groupBy(event, section)
-        .agg(F.max(F.struct(F.length(text).alias("n"), F.col(text).alias("text"))).getField("text").alias("__text"))
-    )
-    pieces = labelled_pieces(one, event, section, "__text", gap)
+    known = texts.where(F.col(event).isNotNull() & F.col(section).isNotNull() & F.col(text).isNotNull())
+    pieces = labelled_pieces(known, event, section, text, gap)
+    if not utterances:
+        pieces = pieces.drop("words")
+    # copies of a text meet in a combining aggregate; then all that follows is done on one partitioning
+    pieces = pieces.distinct().repartition(event)
+    longest = F.max("version").over(Window.partitionBy(event, section))
+    pieces = pieces.withColumn("__longest", longest).where("version = __longest")
     full = F.when(F.length(F.regexp_replace("first", r"\.", "")) > 1, F.col("first"))
     pieces = pieces.withColumns({"__full": full, "__initial": F.substring("first", 1, 1)})
     order = [section, "pos"]
@@ -171,15 +179,15 @@ def speaker_turns(texts: DataFrame, event: str, section: str, text: str, gap: fl
     first = F.coalesce(first, *by_name, F.last("first", True).over(everyone.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     speaker = F.when(F.col("kind") == "person", F.concat_ws(" ", first, "last")).otherwise(F.col("kind"))
     # a label counts for the names even if nothing is said under it
-    pieces = pieces.withColumn("speaker", speaker).where(F.size("words") > 0)
+    pieces = pieces.withColumn("speaker", speaker).where("n > 0")
     inside = Window.partitionBy(event, section).orderBy("pos")
     begins = F.coalesce((F.col("speaker") != F.lag("speaker").over(inside)).cast("int"), F.lit(1))
     pieces = pieces.withColumn("__begins", begins)
     pieces = pieces.withColumns({"turn_no": F.sum("__begins").over(inside), "__next": F.lead("clock").over(inside)})
-    said = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "words"))), lambda p: p["words"]))
+    said = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "words"))), lambda p: p["words"])) if utterances else None
     return pieces.groupBy(event, section, "turn_no", "speaker").agg(
-        F.sum(F.size("words")).cast("bigint").alias("n_words"),
-        said.alias("words"),
+        F.sum("n").cast("bigint").alias("n_words"),
         F.min("clock").alias("start_s"),
         F.max(F.coalesce("__next", "clock")).alias("end_s"),
+        *([said.alias("words")] if utterances else []),
     )
