@@ -12,6 +12,10 @@ from tidemark.sources import read_table
 NEW_YORK = "America/New_York"
 
 
+def day_text(day: str | Column) -> Column:
+    return F.date_format(day, "yyyy-MM-dd")
+
+
 def name_history(spark: SparkSession, folder: str) -> History:
     return History(read_table(spark, folder, "crsp_msenames"), "permno", "namedt", "nameendt", ["namedt", "ticker", "ncusip", "comnam"])
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import known
+from tidemark.plans import known, reports, study
 
-MODULES = (known,)
+MODULES = (known, study, reports)
 
 
 def queries() -> dict:
