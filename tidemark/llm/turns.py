@@ -25,7 +25,7 @@ _NOTES = (
 )
 _CLOCK = r"(?:\[\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\]|\(\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\)|\d{1,2}:\d{2}:\d{2}(?:\.\d+)?)"
 _WORD = r"\p{L}[\p{L}'’\-]+"
-_GAP = r"[ \t ]{1,4}"
+_GAP = r"[ \t\u00a0]{1,4}"
 _ROLE = (
     r"(?:Analyst|C[EFOT]O|[^\n:<>()\[\]]{0,30}(?:President|Officer|Chair\w*|Director|Treasurer|Relations|Partner|Head of [\p{L} ]+)[\p{L} ,]{0,30})"
 )
@@ -38,7 +38,13 @@ _START = (
     rf"(?:<(?!(?i:{_NOTES})>)({_LABEL})>|({_LABEL})(?::(?=\s|\z)|{_GAP}--(?=\s|\z)|{_GAP}\[\d{{1,4}}\][ \t]*$))"
     rf"|(?<=\s)\[\d{{1,4}}\][ ]((?:{_CLOCK}[ ]*)?)({_LABEL}):(?=\s|\z)"
 )
-_HUM = r"^(?:u+h+m*|u+m+|e+r+m*|a+h+|h+m+|e+h+)$"
+_HUM = r"(?:[uU]+(?:[hH]+[mM]*|[mM]+)|[eE]+(?:[rR]+[mM]*|[hH]+)|[aA]+[hH]+|[hH]+[mM]+)"
+#: The leading look-ahead lets the engine pass over most characters at once.
+_SPEECHLESS = (
+    rf"(?=[\[(<{{*\duUeEaAhH])(?:[\[(<{{*](?:\d{{1,2}}:\d{{2}}(?::\d{{2}}(?:\.\d+)?)?|\s*(?i:{_NOTES})\s*)[\])>}}*]"
+    rf"|\d{{1,2}}:\d{{2}}:\d{{2}}(?:\.\d+)?|(?<![\p{{L}}\p{{N}}]){_HUM}(?![\p{{L}}\p{{N}}]))"
+)
+_SPOKEN = r"[\p{L}\p{N}][^\s\u00a0\u2007\u202f]*+"
 
 
 def isotonic(clock: np.ndarray, gap: float) -> np.ndarray:
@@ -87,15 +93,18 @@ def _seconds(stamp: Column) -> Column:
     return F.when(F.size(part) == 3, n(0) * 3600 + n(1) * 60 + n(2)).when(F.size(part) == 2, n(0) * 60 + n(1))
 
 
-def spoken_words(utterance: Column) -> Column:
-    """The words of an utterance: pieces between white space that hold a letter or digit, without
-    clock stamps, notes of sounds or audio trouble, and hesitation noises."""
-    bare = F.regexp_replace(utterance, _CLOCK, " ")
-    for left, right in ((r"\[", r"\]"), (r"\(", r"\)"), ("<", ">"), (r"\{", r"\}"), (r"\*", r"\*")):
-        bare = F.regexp_replace(bare, rf"(?i){left}\s*(?:{_NOTES})\s*{right}", " ")
-    pieces = F.split(bare, r"(?U)\s+")
-    letters = lambda x: F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}]", ""))
-    return F.filter(pieces, lambda x: x.rlike(r"[\p{L}\p{N}]") & ~letters(x).rlike(_HUM))
+def spoken(utterance: Column) -> Column:
+    """An utterance without clock stamps, notes of sounds or audio trouble, and hesitation noises."""
+    return F.regexp_replace(utterance, _SPEECHLESS, " ")
+
+
+def word_number(said: Column) -> Column:
+    """How many pieces between white space hold a letter or digit."""
+    return F.regexp_count(said, F.lit(_SPOKEN))
+
+
+def spoken_words(said: Column) -> Column:
+    return F.filter(F.split(said, r"(?U)\s+"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
 
 
 def labelled_pieces(texts: DataFrame, event: str, section: str, text: str, gap: float = 30.0) -> DataFrame:
@@ -106,7 +115,9 @@ def labelled_pieces(texts: DataFrame, event: str, section: str, text: str, gap:
     )
     version = F.struct(F.length(text).alias("length"), F.xxhash64(text).alias("hash"))
     pieces = texts.select(event, section, version.alias("version"), F.split(marked, _PIECE).alias("__pieces"))
-    clocks = F.transform("__pieces", lambda p: _seconds(F.regexp_extract(p, _CLOCK, 0)))
+    # a piece's stamp stands before its label or at the beginning of what is said
+    edges = lambda p: F.concat_ws(" ", F.substring_index(p, _FIELD, 1).substr(1, 40), F.substring_index(p, _FIELD, -1).substr(1, 20))
+    clocks = F.transform("__pieces", lambda p: _seconds(F.regexp_extract(edges(p), _CLOCK, 0)))
     pieces = pieces.withColumn("__clock", _repaired(gap)(clocks))
     pieces = pieces.select(event, section, "version", F.posexplode(F.arrays_zip("__pieces", "__clock")).alias("pos", "__z"))
     part = F.split(F.col("__z.__pieces"), _FIELD)
@@ -119,7 +130,8 @@ def labelled_pieces(texts: DataFrame, event: str, section: str, text: str, gap:
         F.trim(F.regexp_replace(F.when(F.size(part) == 3, part[1]).otherwise(F.lit("")), r"\s+", " ")).alias("label"),
         F.when(F.size(part) == 3, part[2]).otherwise(F.col("__z.__pieces")).alias("said"),
     ).where("pos > 0 or said rlike '[\\\\p{L}\\\\p{N}]'")
-    pieces = pieces.withColumn("words", spoken_words(F.col("said"))).withColumn("n", F.size("words"))
+    pieces = pieces.withColumn("said", spoken(F.col("said")))
+    pieces = pieces.withColumns({"words": spoken_words(F.col("said")), "n": word_number(F.col("said"))})
     name = F.lower(F.regexp_replace("label", rf" (?:- .*|\(.*\))$|, (?:{_ROLE})$", ""))
     pieces = pieces.withColumn("name", name)
     kind = (
