@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import known, reports, study
+from tidemark.plans import known, models, reports, study, texts
 
-MODULES = (known, study, reports)
+MODULES = (known, study, reports, texts, models)
 
 
 def queries() -> dict:

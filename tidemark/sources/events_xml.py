@@ -40,12 +40,16 @@ def _event(xml: bytes | str | None) -> dict | None:
         return None
 
 
-@F.pandas_udf(_FIELDS)
-def parsed_event(xml: pd.Series) -> pd.DataFrame:
+def _events(xml: pd.Series) -> pd.DataFrame:
     names = [f.split()[0] for f in _FIELDS.split(", ")]
     return pd.DataFrame([_event(x) or dict.fromkeys(names) for x in xml], columns=names)
 
 
+def parsed_event(xml: Column | str) -> Column:
+    """The event of an XML text as a struct; all its fields are null for whatever is no earnings call."""
+    return F.pandas_udf(_events, _FIELDS)(xml)
+
+
 def xml_files(spark: SparkSession, path: str) -> DataFrame:
     """path, xml of every *_T.xml file below the path."""
     files = spark.read.option("wholetext", True).option("pathGlobFilter", "*_T.xml").option("recursiveFileLookup", True).text(path)
