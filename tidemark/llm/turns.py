@@ -41,10 +41,10 @@ _START = (
 _HUM = r"(?:[uU]+(?:[hH]+[mM]*|[mM]+)|[eE]+(?:[rR]+[mM]*|[hH]+)|[aA]+[hH]+|[hH]+[mM]+)"
 #: The leading look-ahead lets the engine pass over most characters at once.
 _SPEECHLESS = (
-    rf"(?=[\[(<{{*\duUeEaAhH])(?:[\[(<{{*](?:\d{{1,2}}:\d{{2}}(?::\d{{2}}(?:\.\d+)?)?|\s*(?i:{_NOTES})\s*)[\])>}}*]"
-    rf"|\d{{1,2}}:\d{{2}}:\d{{2}}(?:\.\d+)?|(?<![\p{{L}}\p{{N}}]){_HUM}(?![\p{{L}}\p{{N}}]))"
+    rf"(?=[\[(<{{*\duUeEaAhH\u00a0\u2007\u202f])(?:[\[(<{{*](?:\d{{1,2}}:\d{{2}}(?::\d{{2}}(?:\.\d+)?)?|\s*(?i:{_NOTES})\s*)[\])>}}*]"
+    rf"|\d{{1,2}}:\d{{2}}:\d{{2}}(?:\.\d+)?|(?<![\p{{L}}\p{{N}}]){_HUM}(?![\p{{L}}\p{{N}}])|[\u00a0\u2007\u202f])"
 )
-_SPOKEN = r"[\p{L}\p{N}][^\s\u00a0\u2007\u202f]*+"
+_SPOKEN = r"[\p{L}\p{N}]\S*+"
 
 
 def isotonic(clock: np.ndarray, gap: float) -> np.ndarray:
@@ -94,7 +94,8 @@ def _seconds(stamp: Column) -> Column:
 
 
 def spoken(utterance: Column) -> Column:
-    """An utterance without clock stamps, notes of sounds or audio trouble, and hesitation noises."""
+    """An utterance without clock stamps, notes of sounds or audio trouble, and hesitation noises; all
+    white space is plain."""
     return F.regexp_replace(utterance, _SPEECHLESS, " ")
 
 
