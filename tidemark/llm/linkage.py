@@ -23,7 +23,7 @@ from tidemark.sources import stored
 
 FIELDS = ("cusip", "isin", "ticker", "name", "form")
 ABSTAIN = -1
-LEVELS = 4  # 0 conflict, 1 and 2 partial, 3 full agreement
+LEVELS = 4  #: 0 conflict, 1 and 2 partial, 3 full agreement
 
 #: Legal forms and other words that say little about who a company is.
 FORMS = {"INCORPORATED": "INC", "INC": "INC", "CORPORATION": "CORP", "CORP": "CORP", "COMPANY": "CO", "CO": "CO", "LIMITED": "LTD", "LTD": "LTD"}
@@ -123,56 +123,49 @@ def candidate_votes(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 class LabelModel:
-    """Two hidden classes; given the class, blocks of matchers vote independently of each other."""
+    """Two hidden classes; given the class, blocks of matchers vote independently of each other.
 
-    def __init__(self, levels: int = LEVELS, smooth: float = 0.5, tie: float = 0.02) -> None:
-        self.levels, self.smooth, self.tie = levels, smooth, tie
+    Fitted by expectation and maximisation over the vote patterns. Which matchers depend on each other
+    is learned too: the pair whose joint table raises the likelihood most, beyond what its additional
+    parameters are worth (by the Bayesian information criterion), becomes one block, and again until
+    no pair does.
+    """
+
+    def __init__(self, smooth: float = 0.5, rounds: int = 200) -> None:
+        self.smooth, self.rounds = smooth, rounds
 
-    def _fit(self, start: np.ndarray, rounds: int = 200) -> np.ndarray:
-        post = start
-        for _ in range(rounds):
+    def _fit(self, blocks: list[list[int]]) -> tuple[np.ndarray, float]:
+        """The posterior of every pattern, and the information criterion (the higher the better)."""
+        codes = [np.unique(self.votes[:, block], axis=0, return_inverse=True)[1].ravel() for block in blocks]
+        post = self.start
+        for _ in range(self.rounds):
             weight = np.stack([self.n * (1 - post), self.n * post])
-            self.prior = (weight.sum(1) + 1) / (weight.sum() + 2)
-            score = np.log(self.prior)[:, None] + np.zeros((2, len(self.n)))
-            for block in self.blocks:
-                _, code = np.unique(self.votes[:, block], axis=0, return_inverse=True)
-                code = code.ravel()
+            score = np.log((weight.sum(1) + 1) / (weight.sum() + 2))[:, None] + np.zeros((2, len(self.n)))
+            for code in codes:
                 table = np.stack([np.bincount(code, w, code.max() + 1) for w in weight]) + self.smooth
                 score += np.log(table / table.sum(1, keepdims=True))[:, code]
             new = 1 / (1 + np.exp(np.clip(score[0] - score[1], -50, 50)))
-            if np.abs(new - post).max() < 1e-6:
+            done, post = np.abs(new - post).max() < 1e-6, new
+            if done:
                 break
-            post = new
-        return new
-
-    def _dependence(self, post: np.ndarray, a: int, b: int) -> float:
-        """Mutual information of two matchers' votes given the class."""
-        total = 0.0
-        for w in (self.n * (1 - post), self.n * post):
-            joint = np.zeros((self.levels + 1, self.levels + 1))
-            np.add.at(joint, (self.votes[:, a] + 1, self.votes[:, b] + 1), w)
-            if joint.sum() <= 0:
-                continue
-            joint /= joint.sum()
-            independent = joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True)
-            cells = joint > 0
-            total += w.sum() / self.n.sum() * float((joint[cells] * np.log(joint[cells] / independent[cells])).sum())
-        return total
+        likelihood = float((self.n * np.logaddexp(score[0], score[1])).sum())
+        parameters = sum(2 * int(code.max()) for code in codes)
+        return post, likelihood - parameters * np.log(self.n.sum()) / 2
 
     def fit(self, votes: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """The posterior of every vote pattern."""
+        """The posterior of every vote pattern, seen n times."""
         self.votes, self.n = votes, n.astype(float)
-        agree, differ = (votes >= 2).sum(1), (votes == 0).sum(1)
-        start = np.where(agree > differ, 0.9, 0.1)
+        self.start = np.where((votes >= 2).sum(1) > (votes == 0).sum(1), 0.9, 0.1)
         self.blocks = [[i] for i in range(votes.shape[1])]
-        post = self._fit(start)
-        pairs = [(self._dependence(post, a, b), a, b) for a, b in itertools.combinations(range(votes.shape[1]), 2)]
-        taken: set[int] = set()
-        for bits, a, b in sorted(pairs, reverse=True):
-            if bits > self.tie and not taken & {a, b}:
-                self.blocks = [x for x in self.blocks if x not in ([a], [b])] + [[a, b]]
-                taken |= {a, b}
-        return self._fit(post)
+        post, best = self._fit(self.blocks)
+        while True:
+            single = [b[0] for b in self.blocks if len(b) == 1]
+            tries = [[b for b in self.blocks if b not in ([x], [y])] + [[x, y]] for x, y in itertools.combinations(single, 2)]
+            fits = [(self._fit(blocks), blocks) for blocks in tries]
+            (joint, value), blocks = max(fits, key=lambda f: f[0][1], default=((post, best), self.blocks))
+            if value <= best:
+                return post
+            post, best, self.blocks = joint, value, blocks
 
 
 def link_entities(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
