@@ -52,7 +52,7 @@ def parsed_event(xml: Column | str) -> Column:
 
 def xml_files(spark: SparkSession, path: str) -> DataFrame:
     """path, xml of every *_T.xml file below the path."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*_T.xml").option("recursiveFileLookup", True).text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*_T.xml", recursiveFileLookup=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("xml"))
 
 
