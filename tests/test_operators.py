@@ -9,10 +9,10 @@ from tidemark.functions import text as T
 from tidemark.operators.links import first_by, version_dedup
 from tidemark.operators.panel import iteratively_demeaned
 from tidemark.operators.portfolios import portfolio_of
-from tidemark.operators.quantiles import quintile_within, rolling_members
-from tidemark.operators.returns import abnormal_returns, drop_sentinels, forward_sum, trailing_moments, winsorized
+from tidemark.operators.quantiles import exact_quantiles, quintile_within, rolling_members
+from tidemark.operators.returns import abnormal_returns, drop_sentinels, forward_sums, trailing_moments, winsorized
 from tidemark.operators.trading import asof_position, positions, shift_after_close
-from tidemark.operators.vocab import rolling_vocabulary, top_terms
+from tidemark.operators.vocab import rolling_vocabulary, term_totals, top_terms
 
 D = lambda n: dt.date(2010, 1, 1) + dt.timedelta(days=int(n))
 
@@ -68,7 +68,7 @@ def test_asof_and_shift(spark):
 
 def test_forward_sum_needs_half_of_the_days(spark):
     rows = [(1, D(i), None if i in (2, 3) else 1.0) for i in range(6)]
-    got = spark.createDataFrame(rows, "permno int, dt date, x double").withColumn("s", forward_sum(F.col("x"), 4)).orderBy("dt").collect()
+    got = forward_sums(spark.createDataFrame(rows, "permno int, dt date, x double"), {"s": (F.col("x"), 4)}).orderBy("dt").collect()
     assert [r.s for r in got] == [2.0, 2.0, 2.0, 2.0, None, None]
 
 
@@ -137,7 +137,25 @@ def test_text_functions(spark):
 
 
 def test_vocabulary_uses_training_quarters_only(spark):
-    terms = spark.createDataFrame([(1, 1, "a", 3), (2, 1, "b", 3), (3, 2, "c", 9), (4, 2, "a", 1)], "doc int, q int, term string, tf bigint")
-    assert [r.term for r in top_terms(terms, 2).collect()] == ["c", "a"]
+    docs = spark.createDataFrame([(1, "a a a"), (1, "b b b"), (2, "c c c c c"), (2, "a"), (2, None), (2, "")], "q int, t string")
+    words = F.regexp_extract_all(F.coalesce("t", F.lit("")), F.lit("[a-z]"), F.lit(0))
+    totals = term_totals(docs, words)
+    assert [tuple(r) for r in top_terms(totals, 2).collect()] == [("c", 5, 1), ("a", 4, 2)]
+    terms = term_totals(docs, words, "q")
     members = spark.createDataFrame([(2, 1)], "test_quarter int, train_quarter int")
     assert sorted(r.term for r in rolling_vocabulary(terms, "q", members, 10, 1).collect()) == ["a", "b"]
+
+
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+def test_exact_quantiles(spark, accuracy):
+    rng = np.random.default_rng(0)
+    x = np.where(rng.random(3000) < 0.3, 1.0, rng.normal(size=3000))
+    pdf = pd.DataFrame({"g": [None if i % 5 == 0 else "ab"[i % 2] for i in range(3000)], "x": np.where(rng.random(3000) < 0.02, np.nan, x)})
+    df = spark.createDataFrame([(g, None if np.isnan(v) else float(v)) for g, v in pdf.values], "g string, x double").repartition(4)
+    probs = [0.0, 0.01, 1 / 3, 0.5, 0.995, 1.0]
+    got = {r.g: r.quantiles for r in exact_quantiles(df, ["g"], "x", probs, accuracy=accuracy).collect()}
+    for g in (None, "a", "b"):
+        own = pdf.x[pdf.g.isna() if g is None else pdf.g == g].dropna()
+        assert np.allclose(got[g], own.quantile(probs), rtol=1e-12, atol=1e-15)
+    assert np.allclose(exact_quantiles(df, [], "x", [0.5]).first().quantiles, pdf.x.quantile(0.5))
+    assert exact_quantiles(df.where("x is null"), ["g"], "x", [0.5]).count() == 0

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import with_quantiles
+
 #: Codes that stand for a missing return.
 SENTINELS = (-66.0, -77.0, -88.0, -99.0)
 
@@ -21,10 +23,10 @@ def drop_sentinels(df: DataFrame, ret: str) -> DataFrame:
 
 def winsorized(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99, into: str | None = None) -> DataFrame:
     """column clipped to its exact quantiles over all rows; nulls stay null."""
-    bounds = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("__b"))
+    df = with_quantiles(df, [], column, (low, high), "__b")
     x = F.col(column)
     clipped = F.when(x.isNotNull(), F.least(F.greatest(x, F.col("__b")[0]), F.col("__b")[1]))
-    return df.join(F.broadcast(bounds)).withColumn(into or column, clipped).drop("__b")  # bounds is one row
+    return df.withColumn(into or column, clipped).drop("__b")
 
 
 def trailing_moments(daily: DataFrame, y: str, factors: Sequence[str], first: int = 257, last: int = 6, firm: str = "permno", day: str = "dt") -> DataFrame:
@@ -77,10 +79,26 @@ def abnormal_returns(matched: DataFrame, y: str, factors: Sequence[str], least_o
     return kept.select(*columns, "m").mapInPandas(fit, out).withColumn(into, F.nanvl(into, F.lit(None)))
 
 
-def forward_sum(x: Column, days: int, firm: str = "permno", day: str = "dt", share: float = 0.5) -> Column:
-    """Sum over the next `days` rows; null if less than the share of them are present."""
-    w = Window.partitionBy(firm).orderBy(day).rowsBetween(1, days)
-    return F.when(F.count(x).over(w) >= share * days, F.sum(x).over(w))
+def forward_sums(daily: DataFrame, sums: dict[str, tuple[Column, int]], firm: str = "permno", day: str = "dt", share: float = 0.5) -> DataFrame:
+    """daily plus, by name, the sum of a column over the next so many rows; null if less than the share
+    of them are present. Each is a difference of running sums, so its cost does not depend on how many."""
+    own = Window.partitionBy(firm).orderBy(day)
+    whole = Window.partitionBy(firm)
+    running = own.rowsBetween(Window.unboundedPreceding, 0)
+    kinds = list({str(x): x for x, _ in sums.values()}.items())
+    at = {name: i for i, (name, _) in enumerate(kinds)}
+    cells = [F.array(F.sum(F.coalesce(x, F.lit(0.0))).over(running), F.count(x).over(running).cast("double")) for _, x in kinds]
+    df = daily.withColumn("__run", F.array(*cells))
+    df = df.withColumn("__end", F.max_by("__run", day).over(whole))
+    horizons = sorted({days for _, days in sums.values()})
+    df = df.withColumns({f"__to{h}": F.coalesce(F.lead("__run", h).over(own), F.col("__end")) for h in horizons})
+
+    def one(x: Column, days: int) -> Column:
+        part = lambda c, i: F.col(c)[at[str(x)]][i]
+        to = f"__to{days}"
+        return F.when(part(to, 1) - part("__run", 1) >= share * days, part(to, 0) - part("__run", 0))
+
+    return df.withColumns({name: one(x, days) for name, (x, days) in sums.items()}).drop("__run", "__end", *[f"__to{h}" for h in horizons])
 
 
 def forward_compound(x: Column, days: int, firm: str = "permno", day: str = "dt") -> Column:

@@ -11,18 +11,24 @@ def term_table(docs: DataFrame, doc: str, words: Column) -> DataFrame:
     return docs.select(doc, F.explode(words).alias("term")).groupBy(doc, "term").agg(F.count("*").alias("tf"))
 
 
-def top_terms(terms: DataFrame, k: int = 1000, min_df: int = 1) -> DataFrame:
-    """term, tf, df of the k most frequent terms among those in at least min_df documents; ties by term."""
-    counts = terms.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
-    return counts.where(F.col("df") >= min_df).orderBy(F.desc("tf"), "term").limit(k)
+def term_totals(docs: DataFrame, words: Column, *by: str) -> DataFrame:
+    """by, term, tf, df. Each document gives its words and, apart, its distinct words, so that both
+    counts combine on the map side by term alone and no (document, term) table is shuffled."""
+    one = lambda tf, df: lambda w: F.struct(w.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df"))
+    both = docs.withColumn("__w", words).select(*by, F.inline(F.concat(F.transform("__w", one(1, 0)), F.transform(F.array_distinct("__w"), one(0, 1)))))
+    return both.groupBy(*by, "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
-def rolling_vocabulary(terms: DataFrame, quarter: str, members: DataFrame, k: int = 1000, min_df: int = 5) -> DataFrame:
+def top_terms(totals: DataFrame, k: int = 1000, min_df: int = 1) -> DataFrame:
+    """The k most frequent terms among those in at least min_df documents; ties by term."""
+    return totals.where(F.col("df") >= min_df).orderBy(F.desc("tf"), "term").limit(k)
+
+
+def rolling_vocabulary(quarterly: DataFrame, quarter: str, members: DataFrame, k: int = 1000, min_df: int = 5) -> DataFrame:
     """test_quarter, term, tf, df: per test quarter the k most frequent terms of its training quarters.
 
-    Terms are first summed per quarter, so that eight overlapping windows read eight small tables and
-    not eight times the documents."""
-    quarterly = terms.groupBy(quarter, "term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+    quarterly has the totals of each quarter, so that eight overlapping windows read eight small tables
+    and not eight times the documents."""
     trained = quarterly.join(F.broadcast(members), F.col(quarter) == F.col("train_quarter"))  # members: 8 rows per quarter
     counts = trained.groupBy("test_quarter", "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
     best = Window.partitionBy("test_quarter").orderBy(F.desc("tf"), "term")

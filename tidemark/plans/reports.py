@@ -10,7 +10,7 @@ from tidemark.operators.embed import diagnostics, dimension_stats, mean_pooled,
 from tidemark.operators.fundamentals import nearest_report, standard_quarters, surprises
 from tidemark.operators.links import first_by, priority_link, version_dedup
 from tidemark.operators.panel import clustered_ols, demeaned, iteratively_demeaned, pooled_ols, quarter_summary, quintile_spread
-from tidemark.operators.quantiles import bin_by_cutoffs, hfl, quarter_number, quintile_within, rolling_members, year_quarter, zscore
+from tidemark.operators.quantiles import bin_by_cutoffs, exact_quantiles, hfl, quarter_number, quintile_within, rolling_members, with_quantiles, year_quarter, zscore
 from tidemark.plans.known import day_text
 from tidemark.sources import read_table
 from tidemark.sources.stores import profile
@@ -59,8 +59,7 @@ def link_length_filter(spark: SparkSession, folder: str) -> DataFrame:
     calls = read_table(spark, folder, "transcripts")
     words = F.coalesce("n_words_pres", F.lit(0)) + F.coalesce("n_words_qa", F.lit(0))
     calls = calls.select("event_id", words.alias("total_words"))
-    cut = calls.agg(F.percentile("total_words", 0.995).alias("cut"))
-    return calls.join(F.broadcast(cut)).where("total_words <= cut").select("event_id", "total_words")  # cut is one row
+    return with_quantiles(calls, [], "total_words", [0.995], "cut").where("total_words <= cut[0]").select("event_id", "total_words")
 
 
 LENGTH_SQL = """with c as (select event_id, coalesce(n_words_pres, 0) + coalesce(n_words_qa, 0) total_words from transcripts)
@@ -139,16 +138,19 @@ def rolling_window_members(spark: SparkSession, folder: str) -> DataFrame:
 MEMBERS_SQL = f"with {_QEV}, {_TEST_MEMBERS} select test_q test_quarter, train_q train_quarter from mb"
 
 
-def _trained(spark: SparkSession, folder: str, *aggregates: Column) -> tuple[DataFrame, DataFrame]:
-    """The events, and statistics of each test quarter's training events."""
+FIFTHS = (0.2, 0.4, 0.6, 0.8)
+
+
+def _trained(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The events, and those of each test quarter's training quarters."""
     events = quarter_events(spark, folder)
     members = rolling_members(events, "q")
-    train = events.join(F.broadcast(members), F.col("q") == F.col("train_quarter"))  # eight rows per quarter
-    return events, train.groupBy("test_quarter").agg(*aggregates)
+    return events, events.join(F.broadcast(members), F.col("q") == F.col("train_quarter"))  # eight rows per quarter
 
 
 def quintile_train_cutoff(spark: SparkSession, folder: str) -> DataFrame:
-    events, cuts = _trained(spark, folder, F.percentile("ar", F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.8)))).alias("cutoffs"))
+    events, train = _trained(spark, folder)
+    cuts = exact_quantiles(train, ["test_quarter"], "ar", FIFTHS, "cutoffs")
     return events.join(F.broadcast(cuts), F.col("q") == F.col("test_quarter")).select("event_id", "yq", bin_by_cutoffs(F.col("ar"), F.col("cutoffs")).cast("double").alias("quintile"))
 
 
@@ -158,9 +160,10 @@ select event_id, yq, case when ar is not null then 1 + len(list_filter(cutoffs,
 
 def quintile_prior_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Cutoffs of the last eight quarters' scores, of the own quarter where those are fewer than 100."""
-    events, cuts = _trained(spark, folder, F.count("ret").alias("n"), F.percentile("ret", F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.8)))).alias("prior"))
-    own = events.groupBy("q").agg(F.percentile("ret", F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.8)))).alias("own"))
-    joined = events.join(F.broadcast(own), "q").join(F.broadcast(cuts), F.col("q") == F.col("test_quarter"), "left")
+    events, train = _trained(spark, folder)
+    sizes = train.groupBy("test_quarter").agg(F.count("ret").alias("n"))
+    cuts = sizes.join(exact_quantiles(train, ["test_quarter"], "ret", FIFTHS, "prior"), "test_quarter", "left")
+    joined = with_quantiles(events, ["q"], "ret", FIFTHS, "own").join(F.broadcast(cuts), F.col("q") == F.col("test_quarter"), "left")
     cutoffs = F.when(F.coalesce("n", F.lit(0)) < 100, F.col("own")).otherwise(F.col("prior"))
     return joined.select("event_id", "yq", bin_by_cutoffs(F.col("ret"), cutoffs).cast("double").alias("quintile"))
 
@@ -171,8 +174,9 @@ select event_id, yq, case when ret is not null then 1 + len(list_filter(case whe
 
 
 def hfl_category_window(spark: SparkSession, folder: str) -> DataFrame:
-    events, cuts = _trained(spark, folder, F.percentile(F.abs("ar"), 1 / 3).alias("cut"))
-    return events.join(F.broadcast(cuts), F.col("q") == F.col("test_quarter")).select("event_id", "yq", hfl(F.col("ar"), F.col("cut")).alias("category"))
+    events, train = _trained(spark, folder)
+    cuts = exact_quantiles(train, ["test_quarter"], F.abs("ar"), [1 / 3], "cut")
+    return events.join(F.broadcast(cuts), F.col("q") == F.col("test_quarter")).select("event_id", "yq", hfl(F.col("ar"), F.col("cut")[0]).alias("category"))
 
 
 HFL_WINDOW_SQL = f"""with {_QEV}, {_TEST_MEMBERS}, c as (select test_q, quantile_cont(abs(ar), 1.0 / 3) cut from mb join ev on ev.q = train_q group by 1)

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import portfolios
-from tidemark.operators.quantiles import hfl
+from tidemark.operators.quantiles import hfl, with_quantiles
 from tidemark.operators.returns import (
-    abnormal_returns, drop_sentinels, forward_compound, forward_sum, trailing_moments, winsorized,
+    abnormal_returns, drop_sentinels, forward_compound, forward_sums, trailing_moments, winsorized,
 )
 from tidemark.operators.trading import asof_position, positions, shift_after_close
 from tidemark.plans.known import day_text
@@ -92,7 +92,7 @@ def ar_four_factor(spark: SparkSession, folder: str) -> DataFrame:
 def market_car(spark: SparkSession, folder: str) -> DataFrame:
     """event_study_slice: abnormal return and forward 63-row market-adjusted sum."""
     days = trailing_moments(calendar(spark, folder), "exret", ("mktrf",))
-    days = days.withColumn("car", forward_sum(F.col("exret") - F.col("mktrf"), 63)).where("n_days >= 100")
+    days = forward_sums(days, {"car": (F.col("exret") - F.col("mktrf"), 63)}).where("n_days >= 100")
     matched = _matched(order_events(spark, folder), days)
     fitted = abnormal_returns(matched.select("event_id", "permno", "exret", "mktrf", "car", "m", "n_obs"), "exret", ("mktrf",))
     return winsorized(fitted, "ar").select("event_id", "permno", F.round("ar", 8).alias("ar"), F.round("car", 8).alias("car_63"))
@@ -132,8 +132,8 @@ def _cars(spark: SparkSession, folder: str) -> DataFrame:
     events of a firm, so the six differences are summed once per firm-day and each event picks its
     column."""
     days = positions(daily_returns(spark, folder).join(portfolio_returns(spark, folder), "dt", "left"))
-    sums = {f"c{h}_{c}": forward_sum(F.col("ret") - F.col(c), h) for h in HORIZONS for c in portfolios.CODES}
-    days = days.withColumns(sums).where("n_days >= 50").drop("ret", "dt", "n_days", *portfolios.CODES)
+    sums = {f"c{h}_{c}": (F.col("ret") - F.col(c), h) for h in HORIZONS for c in portfolios.CODES}
+    days = forward_sums(days, sums).where("n_days >= 50").drop("ret", "dt", "n_days", *portfolios.CODES)
     events = order_events(spark, folder).withColumn("form_year", portfolios.assign_year(F.col("call_date")))
     events = portfolios.portfolio_of(events, ff6_assign(spark, folder), "form_year")
     placed = asof_position(events, positions(daily_returns(spark, folder)), "call_date", "forward").where("pos is not null")
@@ -169,8 +169,8 @@ def winsorize(spark: SparkSession, folder: str) -> DataFrame:
 
 def hfl_category_global(spark: SparkSession, folder: str) -> DataFrame:
     events = read_table(spark, folder, "abnormal_returns")
-    cut = events.agg(F.percentile(F.abs("abnormal_return"), 1 / 3).alias("cut"))
-    return events.join(F.broadcast(cut)).select("event_id", "permno", hfl(F.col("abnormal_return"), F.col("cut")).alias("category"))
+    cut = with_quantiles(events, [], F.abs("abnormal_return"), [1 / 3], "cut")
+    return cut.select("event_id", "permno", hfl(F.col("abnormal_return"), F.col("cut")[0]).alias("category"))
 
 
 _DAILY = "daily as (select l_suppkey permno, cast(l_shipdate as date) dt, avg(l_discount) - avg(l_tax) ret from lineitem group by 1, 2)"

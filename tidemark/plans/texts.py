@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators.quantiles import quarter_number, rolling_members
-from tidemark.operators.vocab import log_features, rolling_vocabulary, term_table, top_terms
+from tidemark.operators.vocab import log_features, rolling_vocabulary, term_table, term_totals, top_terms
 from tidemark.sources import read_table
 from tidemark.sources.events_xml import parsed_event, start_in_new_york
 
@@ -81,14 +81,12 @@ BIGRAMS_SQL = f"""with t as (select doc_id, list_filter({_TOKENS.format('text')}
 b as (select doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) term from t) select doc_id, term, count(*) tf from b group by 1, 2"""
 
 
-def _terms(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read_table(spark, folder, "documents").withColumn("q", quarter_number(F.col("published_at")))
-    own = docs.select("doc_id", "q")
-    return term_table(docs, "doc_id", _words("text")).join(own, "doc_id")
+def _dated(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, folder, "documents").withColumn("q", quarter_number(F.col("published_at")))
 
 
 def term_freq_top1000(spark: SparkSession, folder: str) -> DataFrame:
-    return top_terms(term_table(read_table(spark, folder, "documents"), "doc_id", _words("text")), 1000, 5)
+    return top_terms(term_totals(read_table(spark, folder, "documents"), _words("text")), 1000, 5)
 
 
 _TERMS = f"""w as (select doc_id, year(published_at) * 4 + quarter(published_at) q, unnest({_TOKENS.format('text')}) term from documents), tt as (select doc_id, any_value(q) q, term, count(*) tf from w group by 1, 3)"""
@@ -96,9 +94,8 @@ TOP_SQL = f"with {_TERMS} select term, sum(tf)::bigint tf, count(*) df from tt g
 
 
 def rolling_vocab(spark: SparkSession, folder: str) -> DataFrame:
-    terms = _terms(spark, folder)
-    members = rolling_members(read_table(spark, folder, "documents").withColumn("q", quarter_number(F.col("published_at"))), "q")
-    return rolling_vocabulary(terms, "q", members, 500, 5)
+    docs = _dated(spark, folder)
+    return rolling_vocabulary(term_totals(docs, _words("text"), "q"), "q", rolling_members(docs, "q"), 500, 5)
 
 
 ROLLING_SQL = f"""with {_TERMS}, rk as (select q, row_number() over (order by q) r from (select distinct year(published_at) * 4 + quarter(published_at) q from documents where published_at is not null)),
@@ -109,8 +106,8 @@ select test_quarter, term, tf, df from (select *, row_number() over (partition b
 
 def log_tf(spark: SparkSession, folder: str) -> DataFrame:
     """The features of all documents over the vocabulary of all."""
-    terms = term_table(read_table(spark, folder, "documents"), "doc_id", _words("text"))
-    return log_features(terms, top_terms(terms, 200, 5)).select("doc_id", "term", F.round("x", 8).alias("x"))
+    docs = read_table(spark, folder, "documents")
+    return log_features(term_table(docs, "doc_id", _words("text")), top_terms(term_totals(docs, _words("text")), 200, 5)).select("doc_id", "term", F.round("x", 8).alias("x"))
 
 
 LOG_SQL = f"""with {_TERMS}, v as (select term from tt group by 1 having count(*) >= 5 order by sum(tf) desc, term limit 200)
@@ -119,9 +116,10 @@ select doc_id, term, round(ln(1 + tf), 8) x from tt where term in (select term f
 
 def fixed_vocab(spark: SparkSession, folder: str) -> DataFrame:
     """A vocabulary of the documents of 2008 and 2009, counted in all documents."""
-    terms = _terms(spark, folder)
-    early = terms.where((F.col("q") >= 2008 * 4 + 1) & (F.col("q") <= 2009 * 4 + 4))
-    return terms.join(top_terms(early, 500, 2).select("term"), "term", "left_semi").select("doc_id", "term", "tf")
+    docs = _dated(spark, folder)
+    early = docs.where((F.col("q") >= 2008 * 4 + 1) & (F.col("q") <= 2009 * 4 + 4))
+    vocabulary = top_terms(term_totals(early, _words("text")), 500, 2)
+    return term_table(docs, "doc_id", _words("text")).join(vocabulary.select("term"), "term", "left_semi").select("doc_id", "term", "tf")
 
 
 FIXED_SQL = f"""with {_TERMS}, v as (select term from tt where q between 8033 and 8040 group by 1 having count(*) >= 2 order by sum(tf) desc, term limit 500)

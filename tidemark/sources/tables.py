@@ -30,7 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again: its lineage ends there, so it survives the
-    loss of executors and is computed once however often it is used."""
-    path = f"{shared_dir(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
+    loss of executors and is computed once however often it is used. An application's tables lie in
+    one folder, tidemark-<application id>, which may be deleted when it has ended."""
+    path = f"{shared_dir(df.sparkSession)}/tidemark-{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
