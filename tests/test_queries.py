@@ -31,3 +31,13 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_found_columns(spark):
+    expected = {
+        "p1_found": {"event_id": "string", "permno": "bigint", "namedt": "string", "gvkey": "bigint"},
+        "p4_found": {"event_id": "string", "start_utc": "string", "call_day": "string", "before_noon": "bigint"},
+    }
+    for name, columns in expected.items():
+        rows = QUERIES[name](spark, DATA)
+        assert dict(rows.dtypes) == columns and rows.count() == rows.distinct().count() > 0
