@@ -14,7 +14,7 @@ from tidemark.llm.survivors import skyline_survivors
 from tidemark.llm.terms import mark_terms, term_counts
 from tidemark.llm.turns import speaker_turns
 from tidemark.operators.asknown import as_known
-from tidemark.plans.known import link_history, stamped_transcripts
+from tidemark.plans.known import STAMPS_SQL, link_history, stamped_transcripts
 from tidemark.sources import read_table
 
 
@@ -103,6 +103,14 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+P5_SQL = f"""with {STAMPS_SQL},
+g as (select try_cast(regexp_replace(company_id, '\\s+', '', 'g') as bigint) company_key, strftime(u, '%Y-%m-%d %H:%M:%S') start_utc, event_id,
+ nullif(nullif(trim(ticker), ''), 'N/A') ticker, nullif(nullif(trim(cusip), ''), 'N/A') cusip, coalesce(lower(trim(story_version)) = 'final', false) final, nullif(trim(last_update), '') updated from su),
+d as (select *, dense_rank() over (partition by company_key, start_utc order by final desc, updated desc nulls last, event_id) r from g where company_key is not null)
+select company_key, start_utc, min_by(event_id, r) event_id, coalesce(min_by(ticker, (r, ticker)) filter (ticker is not null), '') ticker, coalesce(min_by(cusip, (r, cusip)) filter (cusip is not null), '') cusip
+from d group by 1, 2 having count(*) >= 2"""
+
+
 def p6_matches(spark: SparkSession, folder: str) -> DataFrame:
     """event_id, permno, confidence. Records of one company_id describe one company and are matched together."""
     calls = read_table(spark, folder, "transcripts").select("event_id", "company_id", "cusip", "ticker", "isin", "company_name")
@@ -164,4 +172,4 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found, "p6_found": p6_found, "p6_matches": p6_matches, "p7_found": p7_found, "p7_turns": p7_turns, "p8_containers": p8_containers, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found}
-ORACLES = {"p2_found": P2_SQL, "p3_found": P3_SQL, "p3_counts": P3_COUNTS_SQL}
+ORACLES = {"p2_found": P2_SQL, "p3_found": P3_SQL, "p3_counts": P3_COUNTS_SQL, "p5_found": P5_SQL}
