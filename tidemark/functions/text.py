@@ -11,6 +11,16 @@ _QUESTIONS = r"(?i)={5,}\s*\n\s*Questions\s+and\s+Answers\s*\n\s*-{5,}"
 #: Exchange parts of a ticker that are dropped.
 EXCHANGES = ("OQ", "N", "A", "PK", "O", "K", "CB")
 
+#: The English stop words that the n-gram features leave out.
+STOP_WORDS = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself "
+    "they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having "
+    "do does did doing a an the and but if or because as until while of at by for with about against between through during before after "
+    "above below to from up down in out on off over under again further then once here there when where why how all both each few more most "
+    "other some such no nor not only own same so than too very s t can will just don should now d ll m o re ve y ain aren couldn didn doesn "
+    "hadn hasn haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn"
+).split()
+
 
 def _span(body: Column, pattern: str) -> tuple[Column, Column]:
     """Where the first match begins and ends (1-based, end exclusive); 0 and 0 without one."""
@@ -65,7 +75,7 @@ def tokens(masked: Column) -> Column:
     return F.regexp_extract_all(masked, F.lit(r"(?U)\b[\w#$]+\b"), F.lit(0))
 
 
-def without(words: Column, stop_words: list[str]) -> Column:
+def without(words: Column, stop_words: list[str] = STOP_WORDS) -> Column:
     return F.filter(words, lambda w: ~w.isin(*stop_words)) if stop_words else words
 
 

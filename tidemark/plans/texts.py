@@ -11,9 +11,6 @@ from tidemark.operators.vocab import log_features, rolling_vocabulary, term_tabl
 from tidemark.sources import read_table
 from tidemark.sources.events_xml import parsed_event, start_in_new_york
 
-#: A short list of stop words for the bigram query; every operator takes its own.
-STOP_WORDS = ["the", "and", "of", "to", "a", "in", "is", "that", "for", "we", "our", "it", "on", "was", "with", "as", "by", "this", "are", "be"]
-
 
 def _text(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(""))
@@ -73,11 +70,11 @@ TOKENS_SQL = f"with t as (select doc_id, {_TOKENS.format('text')} w from documen
 
 
 def bigrams_nostop(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read_table(spark, folder, "documents").select("doc_id", T.without(_words("text"), STOP_WORDS).alias("w"))
+    docs = read_table(spark, folder, "documents").select("doc_id", T.without(_words("text")).alias("w"))
     return term_table(docs.withColumn("b", T.bigrams(F.col("w"))), "doc_id", F.col("b"))
 
 
-BIGRAMS_SQL = f"""with t as (select doc_id, list_filter({_TOKENS.format('text')}, lambda x: x not in ({', '.join(f"'{w}'" for w in STOP_WORDS)})) w from documents),
+BIGRAMS_SQL = f"""with t as (select doc_id, list_filter({_TOKENS.format('text')}, lambda x: x not in ({', '.join(f"'{w}'" for w in T.STOP_WORDS)})) w from documents),
 b as (select doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) term from t) select doc_id, term, count(*) tf from b group by 1, 2"""
 
 
