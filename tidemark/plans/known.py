@@ -95,7 +95,7 @@ select distinct e.event_id, cast(e.permno as bigint) permno, strftime(nm.namedt,
 from ev e join nm using (event_id) left join lk using (event_id)
 """
 
-#: transcripts with the instant u (UTC) of every stamp that tells a day and a clock time; no zone is UTC.
+#: su: transcripts with the clock t and the instant u (UTC) of every stamp that tells a day and a clock time; no zone is UTC.
 STAMPS_SQL = r"""
 sr as (select *, upper(trim(regexp_replace(start_date_str, '\s+', ' ', 'g'))) s from transcripts),
 sz as (select *, regexp_extract(s, '(?:^|[^A-Z])(Z|UTC|GMT|ET|EST|EDT|CST|CDT|MST|MDT|PST|PDT|BST|CET|CEST|JST|[+-]\d{2}:?\d{2})$', 1) z from sr),
@@ -107,8 +107,8 @@ st as (select *, case when regexp_full_match(s, '\d{10}') then make_timestamp(ca
 su as (select *, case when z = 'ET' then timezone('UTC', timezone('America/New_York', t)) when regexp_matches(z, '^[+-]') then
  t - to_minutes(cast((case when z[1] = '-' then -1 else 1 end) * (cast(z[2:3] as int) * 60 + cast(right(z, 2) as int)) as int))
  else t - to_hours(cast(case z when 'EST' then -5 when 'EDT' then -4 when 'CST' then -6 when 'CDT' then -5 when 'MST' then -7 when 'MDT' then -6 when 'PST' then -8 when 'PDT' then -7
- when 'BST' then 1 when 'CET' then 1 when 'CEST' then 2 when 'JST' then 9 else 0 end as int)) end u from st where t is not null)"""
-P4_SQL = f"""with {STAMPS_SQL}, sn as (select event_id, u, timezone('America/New_York', timezone('UTC', u)) n from su where event_id is not null)
+ when 'BST' then 1 when 'CET' then 1 when 'CEST' then 2 when 'JST' then 9 else 0 end as int)) end u from st)"""
+P4_SQL = f"""with {STAMPS_SQL}, sn as (select event_id, u, timezone('America/New_York', timezone('UTC', u)) n from su where u is not null and event_id is not null)
 select distinct event_id, strftime(u, '%Y-%m-%d %H:%M:%S') start_utc, strftime(n, '%Y-%m-%d') call_day, cast(hour(n) < 12 as bigint) before_noon from sn"""
 
 QUERIES = {"p1_found": p1_found, "p4_found": p4_found}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators.quantiles import quarter_number, rolling_members
 from tidemark.operators.vocab import log_features, rolling_vocabulary, term_table, term_totals, top_terms
+from tidemark.plans.known import STAMPS_SQL
 from tidemark.sources import read_table
 from tidemark.sources.events_xml import parsed_event, start_in_new_york
 
@@ -146,11 +147,15 @@ def start_date_et(spark: SparkSession, folder: str) -> DataFrame:
     return start_in_new_york(calls).select("event_id", "start_date_str", F.date_format("call_date", "yyyy-MM-dd").alias("call_date"), "is_before_close")
 
 
+START_SQL = f"""with {STAMPS_SQL}, n as (select *, case when z in ('EST', 'EDT') then t else timezone('America/New_York', timezone('UTC', case when z in ('GMT', 'EST', 'EDT', 'ET') then t else u end)) end w,
+ regexp_extract(coalesce(headline, ''), '(\\d{{1,2}}-\\w{{3}}-\\d{{2,4}})\\s+\\d{{1,2}}:\\d{{2}}', 1) h from su)
+select event_id, start_date_str, strftime(coalesce(cast(w as date), cast(try_strptime(h, ['%d-%b-%y', '%d-%b-%Y']) as date)), '%Y-%m-%d') call_date, hour(w) < 12 is_before_close from n"""
+
 QUERIES = {
     "section_split": section_split, "clean_text": clean_text, "word_counts": word_counts, "number_mask": number_mask, "tokens": tokens, "bigrams_nostop": bigrams_nostop,
     "term_freq_top1000": term_freq_top1000, "rolling_vocab": rolling_vocab, "log_tf": log_tf, "fixed_vocab": fixed_vocab, "parse_xml": parse_xml, "start_date_et": start_date_et,
 }
 ORACLES = {
     "section_split": SECTION_SQL, "clean_text": CLEAN_SQL, "word_counts": WORDS_SQL, "number_mask": MASK_SQL, "tokens": TOKENS_SQL, "bigrams_nostop": BIGRAMS_SQL,
-    "term_freq_top1000": TOP_SQL, "rolling_vocab": ROLLING_SQL, "log_tf": LOG_SQL, "fixed_vocab": FIXED_SQL, "parse_xml": PARSE_SQL,
+    "term_freq_top1000": TOP_SQL, "rolling_vocab": ROLLING_SQL, "log_tf": LOG_SQL, "fixed_vocab": FIXED_SQL, "parse_xml": PARSE_SQL, "start_date_et": START_SQL,
 }

@@ -73,13 +73,14 @@ def zipped_xml_files(spark: SparkSession, path: str) -> DataFrame:
 
 def start_in_new_york(df: DataFrame, stamp: str = "start_date_str", headline: str = "headline") -> DataFrame:
     """df plus call_date and is_before_close. A stamp whose zone is EST or EDT keeps its wall clock;
-    any other, also one labelled ET, counts as UTC and is moved to New York. Without a readable stamp
+    one without zone or labelled GMT or ET counts as UTC, one with another zone is taken at its word;
+    both are moved to New York. Without a readable stamp
     the day comes from the headline and the hour stays unknown."""
     s = F.upper(F.trim(F.coalesce(stamp, F.lit(""))))
-    bare = F.regexp_replace(s, r"\s*(GMT|EST|EDT|ET)$", "")
+    bare = F.regexp_replace(s, r"\s*\b(GMT|EST|EDT|ET)$", "")
     df = with_stamp(df.withColumn("__bare", bare), "__bare", "__read")
     clock = F.col("__read.clock")
-    there = F.when(s.contains("EST") | s.contains("EDT"), clock).otherwise(
+    there = F.when(s.rlike(r"\b(EST|EDT)\b"), clock).otherwise(
         F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), F.coalesce("__read.utc", clock))
     )
     df = df.withColumn("__there", there)
