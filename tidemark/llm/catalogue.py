@@ -105,7 +105,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 P5_SQL = f"""with {STAMPS_SQL},
 g as (select try_cast(regexp_replace(company_id, '\\s+', '', 'g') as bigint) company_key, strftime(u, '%Y-%m-%d %H:%M:%S') start_utc, event_id,
- nullif(nullif(trim(ticker), ''), 'N/A') ticker, nullif(nullif(trim(cusip), ''), 'N/A') cusip, coalesce(lower(trim(story_version)) = 'final', false) final, nullif(trim(last_update), '') updated from su),
+ nullif(nullif(trim(ticker), ''), 'N/A') ticker, nullif(nullif(trim(cusip), ''), 'N/A') cusip, coalesce(lower(trim(story_version)) = 'final', false) final, nullif(trim(last_update), '') updated from su where u is not null),
 d as (select *, dense_rank() over (partition by company_key, start_utc order by final desc, updated desc nulls last, event_id) r from g where company_key is not null)
 select company_key, start_utc, min_by(event_id, r) event_id, coalesce(min_by(ticker, (r, ticker)) filter (ticker is not null), '') ticker, coalesce(min_by(cusip, (r, cusip)) filter (cusip is not null), '') cusip
 from d group by 1, 2 having count(*) >= 2"""
