@@ -200,7 +200,7 @@ SPREAD_SQL = _BINNED + """, s as (select avg(ret) filter (quintile = 5) - avg(re
 
 
 def quintile_means(spark: SparkSession, folder: str) -> DataFrame:
-    return _binned(spark, folder).where("quintile is not null").groupBy("quintile").agg(F.count("ret").alias("n"), F.round(F.avg("ret"), 8).alias("mean_ret"))
+    return _binned(spark, folder).where("quintile is not null").groupBy(F.col("quintile").cast("double").alias("quintile")).agg(F.count("ret").alias("n"), F.round(F.avg("ret"), 8).alias("mean_ret"))
 
 
 MEANS_SQL = _BINNED + " select quintile, count(ret) n, round(avg(ret), 8) mean_ret from b where quintile is not null group by 1"
