@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizer
+import numpy as np
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import DenseVector, SparseVector, VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,26 +13,54 @@ from tidemark.functions import text as T
 from tidemark.operators.embed import embedded
 from tidemark.operators.model import CLASSES, class_index, elastic_net, log_odds_score, logit_score, rolling_scores
 from tidemark.operators.quantiles import hfl, rolling_members
+from tidemark.operators.vocab import term_totals, top_terms
 from tidemark.plans.reports import interval_link_priority, quarter_events
 from tidemark.sources import read_table, stored
 
+#: The feature blocks, each with a vocabulary of its own.
+BLOCKS = ("pres_words", "pres_pairs", "qa_words", "qa_pairs")
+
+
+def with_blocks(texts: DataFrame) -> DataFrame:
+    """The words of both sections without stop words, and their neighbouring pairs, in place of the texts."""
+    words = lambda c: T.without(T.tokens(T.mask_numbers(F.col(c))))
+    texts = texts.withColumns({"pres_words": words("presentation_text"), "qa_words": words("qa_text")})
+    return texts.withColumns({"pres_pairs": T.bigrams(F.col("pres_words")), "qa_pairs": T.bigrams(F.col("qa_words"))}).drop("presentation_text", "qa_text")
+
 
 def labelled_calls(spark: SparkSession, folder: str) -> DataFrame:
-    """Linked calls with their words, and the class of the firm's mean abnormal return in the call's year."""
+    """Linked calls with their words and pairs, and the class of the firm's mean abnormal return in the call's year."""
     events = quarter_events(spark, folder).groupBy("permno", F.year("event_date").alias("year")).agg(F.avg("ar").alias("ar"))
     cut = events.agg(F.percentile(F.abs("ar"), 1 / 3).alias("cut"))
     classes = events.join(F.broadcast(cut)).select("permno", "year", class_index(hfl(F.col("ar"), F.col("cut"))).alias("label"))  # cut is one row
     calls = read_table(spark, folder, "transcripts").where("call_date is not null")
-    texts = calls.groupBy("event_id").agg(F.max(F.year("call_date")).alias("year"), F.max("presentation_text").alias("text"))
+    # both sections of one version
+    said = F.max(F.struct("presentation_text", "qa_text")).alias("s")
+    texts = calls.groupBy("event_id").agg(F.max(F.year("call_date")).alias("year"), said).select("event_id", "year", "s.*")
     linked = texts.join(interval_link_priority(spark, folder).select("event_id", "permno"), "event_id").join(classes, ["permno", "year"])
-    return linked.withColumn("words", T.tokens(T.mask_numbers(F.col("text"))))
+    return with_blocks(linked)
+
+
+def _log1p(v):
+    return SparseVector(v.size, v.indices, np.log1p(v.values)) if isinstance(v, SparseVector) else DenseVector(np.log1p(v.toArray()))
+
+
+def _block_features(df: DataFrame, vocabularies: dict[str, list[str]]) -> DataFrame:
+    """df plus features: log1p of the counts of each block's terms, side by side. A block without terms
+    is one column of zeros."""
+    for b in BLOCKS:
+        # no token is the empty word
+        df = CountVectorizerModel.from_vocabulary(vocabularies[b] or [""], inputCol=b, outputCol=f"__{b}").transform(df)
+    counts = VectorAssembler(inputCols=[f"__{b}" for b in BLOCKS], outputCol="__counts").transform(df)
+    return counts.withColumn("features", F.udf(_log1p, VectorUDT())("__counts")).drop("__counts", *BLOCKS, *[f"__{b}" for b in BLOCKS])
 
 
-def _ngram_features(df: DataFrame, terms: int = 1000) -> DataFrame:
+def _ngram_features(df: DataFrame, terms: int = 1000, min_df: int = 5) -> DataFrame:
     df = stored(df)
-    counts = CountVectorizer(inputCol="words", outputCol="features", vocabSize=terms, minDF=5.0)
+    # 1,000 terms a block
+    vocabularies = {b: [r.term for r in top_terms(term_totals(df, F.col(b)), terms, min_df).collect()] for b in BLOCKS}
     # written once: fitting reads it many times
-    return stored(counts.fit(df).transform(df).drop("words", "text"))
+    return stored(_block_features(df, vocabularies))
 
 
 def en_multinomial_score(spark: SparkSession, folder: str) -> DataFrame:
