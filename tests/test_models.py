@@ -23,3 +23,20 @@ def test_features_of_both_sections(spark):
 def test_a_block_without_terms_is_one_column_of_zeros(spark):
     calls = models.with_blocks(spark.createDataFrame([(i, "rose", None) for i in range(5)], "event_id int, presentation_text string, qa_text string"))
     assert np.allclose(_dense(models._ngram_features(calls), "event_id")[(0,)], [np.log(2), 0, 0, 0])
+
+
+def test_vocabulary_and_cutoff_of_the_training_years_only(spark):
+    """A word of the test year or of a year before the window is no feature; the cutoff is the window's."""
+    said = {2001: "ancient", 2002: "margin", 2003: "margin", 2004: "future"}
+    texts = [(f"{y}-{i}", y, float(i + 1) * (1000 if y in (2001, 2004) else 1), w, w) for y, w in said.items() for i in range(6)]
+    calls = models.with_blocks(spark.createDataFrame(texts, "event_id string, year int, ar double, presentation_text string, qa_text string")).withColumn("label", F.lit(0.0))
+    members = spark.createDataFrame([(2003, 2001), (2003, 2002), (2004, 2002), (2004, 2003)], "test_quarter int, train_quarter int")
+    featured, own = models._window_features(calls, members)
+    got = own(featured, 2004)
+    x = _dense(got, "event_id")
+    # margin in the presentation, margin in the questions
+    assert np.allclose(x[("2002-0",)], [np.log(2)] * 2) and not x[("2004-0",)].any() and not x[("2001-0",)].any()
+    cut = np.quantile([*range(1, 7)] * 2, 1 / 3)
+    labels = {r.event_id: r.label for r in got.where("year = 2003").collect()}
+    assert labels == {f"2003-{i}": 2.0 if i + 1 > cut else 1.0 for i in range(6)}
+    assert {len(v) for v in _dense(own(featured, 2003), "event_id").values()} == {4}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
@@ -45,10 +45,13 @@ def logit_score(probability: Column) -> Column:
     return F.ln(clipped(2) / (1 - clipped(2))) - F.ln(clipped(0) / (1 - clipped(0)))
 
 
-def rolling_scores(events: DataFrame, members: DataFrame, quarter: str, lambdas: Sequence[float], least_train: int = 100, **fit) -> DataFrame:
+def rolling_scores(
+    events: DataFrame, members: DataFrame, quarter: str, lambdas: Sequence[float], least_train: int = 100, own: Callable[[DataFrame, int], DataFrame] | None = None, **fit
+) -> DataFrame:
     """Each test quarter's events scored by a model of its training quarters only.
 
-    events has features, label (class index) and the quarter. A window without 100 rows or without all
+    events has features, label (class index) and the quarter; or own gives, for a test quarter, events
+    with the features and labels of its window. A window without 100 rows or without all
     of the classes H and L is skipped, and so are empty test quarters. Windows are few (a quarter
     each): the driver loops over them, the work of each is Spark's.
     """
@@ -56,17 +59,15 @@ def rolling_scores(events: DataFrame, members: DataFrame, quarter: str, lambdas:
     for row in members.collect():  # eight rows per quarter
         windows.setdefault(row.test_quarter, []).append(row.train_quarter)
     events = stored(events)
-    counts = {(r[0], r[1]): r[2] for r in events.groupBy(quarter, "label").count().collect()}  # three rows per quarter
     scored = []
     for test, train in sorted(windows.items()):
-        n = {c: sum(counts.get((q, c), 0) for q in train) for c in CLASSES.values()}
-        if sum(n.values()) < least_train or not n[CLASSES["H"]] or not n[CLASSES["L"]]:
+        window = own(events, test) if own else events
+        trained, tested = window.where(F.col(quarter).isin(train)), window.where(F.col(quarter) == test)
+        n = dict.fromkeys(CLASSES.values(), 0) | {r[0]: r[1] for r in trained.groupBy("label").count().collect()}  # three rows
+        if sum(n.values()) < least_train or not n[CLASSES["H"]] or not n[CLASSES["L"]] or tested.isEmpty():
             continue
-        if not any(counts.get((test, c)) for c in CLASSES.values()):
-            continue
-        model = elastic_net(events.where(F.col(quarter).isin(train)), lambdas, **fit)
-        scored.append(model.transform(events.where(F.col(quarter) == test)))
+        scored.append(elastic_net(trained, lambdas, **fit).transform(tested))
     if not scored:
         model_columns = {"rawPrediction": F.col("features"), "probability": F.col("features"), "prediction": F.col("label")}
-        return events.withColumns(model_columns).where("false")
+        return (own(events, 0) if own else events).withColumns(model_columns).where("false")
     return reduce(DataFrame.unionByName, scored)

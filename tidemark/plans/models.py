@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import DenseVector, SparseVector, VectorUDT
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +14,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators.embed import embedded
 from tidemark.operators.model import CLASSES, class_index, elastic_net, log_odds_score, logit_score, rolling_scores
-from tidemark.operators.quantiles import hfl, rolling_members
-from tidemark.operators.vocab import term_totals, top_terms
+from tidemark.operators.quantiles import exact_quantiles, hfl, rolling_members
+from tidemark.operators.vocab import rolling_vocabulary, term_totals, top_terms
 from tidemark.plans.reports import interval_link_priority, quarter_events
 from tidemark.sources import read_table, stored
 
@@ -32,7 +34,7 @@ def labelled_calls(spark: SparkSession, folder: str) -> DataFrame:
     """Linked calls with their words and pairs, and the class of the firm's mean abnormal return in the call's year."""
     events = quarter_events(spark, folder).groupBy("permno", F.year("event_date").alias("year")).agg(F.avg("ar").alias("ar"))
     cut = events.agg(F.percentile(F.abs("ar"), 1 / 3).alias("cut"))
-    classes = events.join(F.broadcast(cut)).select("permno", "year", class_index(hfl(F.col("ar"), F.col("cut"))).alias("label"))  # cut is one row
+    classes = events.join(F.broadcast(cut)).select("permno", "year", "ar", class_index(hfl(F.col("ar"), F.col("cut"))).alias("label"))  # cut is one row
     calls = read_table(spark, folder, "transcripts").where("call_date is not null")
     # both sections of one version
     said = F.max(F.struct("presentation_text", "qa_text")).alias("s")
@@ -76,10 +78,38 @@ def logit_score_v1(spark: SparkSession, folder: str) -> DataFrame:
     return model.transform(calls).select("event_id", "permno", logit_score(F.col("probability")).alias("score"))
 
 
+def _window_features(calls: DataFrame, members: DataFrame, terms: int = 1000, min_df: int = 5) -> tuple[DataFrame, Callable[[DataFrame, int], DataFrame]]:
+    """calls with features over the terms of all windows, and what gives a window's own: the features over
+    the vocabularies of its training years, the labels by the cutoff of its training calls.
+
+    So each call's terms are counted once, and a window picks its columns."""
+    best: dict[int, dict[str, list[str]]] = {}
+    for b in BLOCKS:
+        of_block = rolling_vocabulary(term_totals(calls, F.col(b), "year"), "year", members, terms, min_df)
+        for row in of_block.groupBy("test_quarter").agg(F.sort_array(F.collect_list("term")).alias("terms")).collect():  # a row of 1,000 terms per year
+            best.setdefault(row.test_quarter, {})[b] = row.terms
+    every = {b: sorted({t for w in best.values() for t in w.get(b, [])}) for b in BLOCKS}
+    at, columns = {}, 0
+    for b in BLOCKS:
+        at |= {(b, t): columns + i for i, t in enumerate(every[b])}
+        columns += max(1, len(every[b]))
+    trained = calls.join(F.broadcast(members), F.col("year") == F.col("train_quarter"))  # members: four rows per year
+    cuts = {r.test_quarter: r.cut[0] for r in exact_quantiles(trained, ["test_quarter"], F.abs("ar"), [1 / 3], "cut").collect()}  # a row per year
+
+    def own(featured: DataFrame, test: int) -> DataFrame:
+        kept = [at[b, t] for b in BLOCKS for t in best.get(test, {}).get(b, [])] or [0]
+        sliced = VectorSlicer(inputCol="all_features", outputCol="features", indices=kept).transform(featured)
+        return sliced.drop("all_features").withColumn("label", class_index(hfl(F.col("ar"), F.lit(cuts.get(test)).cast("double"))))
+
+    return _block_features(calls.drop("label"), every).withColumnRenamed("features", "all_features"), own
+
+
 def rolling_score(spark: SparkSession, folder: str) -> DataFrame:
-    """Each year's calls, scored by a model of the four years before."""
-    calls = _ngram_features(labelled_calls(spark, folder))
-    scored = rolling_scores(calls, rolling_members(calls, "year", 4), "year", [0.05], least_train=50)
+    """Each year's calls, scored by a model of the four years before; vocabularies and class cutoff are those years' too."""
+    calls = stored(labelled_calls(spark, folder))
+    members = rolling_members(calls, "year", 4)
+    featured, own = _window_features(calls, members)
+    scored = rolling_scores(featured, members, "year", [0.05], least_train=50, own=own)
     return scored.select("event_id", "year", log_odds_score(F.col("rawPrediction")).alias("score"))
 
 
