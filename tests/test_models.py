@@ -1,8 +1,11 @@
 """Text models: feature blocks, windows and penalties on small cases."""
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from tests.harness import DATA
+from tidemark.operators.model import elastic_net, inverse_penalties, lambda_path
 from tidemark.plans import models
 
 
@@ -40,3 +43,36 @@ def test_vocabulary_and_cutoff_of_the_training_years_only(spark):
     labels = {r.event_id: r.label for r in got.where("year = 2003").collect()}
     assert labels == {f"2003-{i}": 2.0 if i + 1 > cut else 1.0 for i in range(6)}
     assert {len(v) for v in _dense(own(featured, 2003), "event_id").values()} == {4}
+
+
+def _three_classes(spark, n=150):
+    rng = np.random.default_rng(1)
+    y = rng.integers(0, 3, n)
+    x = rng.normal(size=(n, 4)) * [1, 10, 1, 1]
+    x[:, 0] += 0.5 * y
+    return spark.createDataFrame([(float(a), [float(v) for v in b]) for a, b in zip(y, x, strict=True)], "label double, x array<double>").select("label", array_to_vector("x").alias("features")), x, y
+
+
+def test_lambda_path_begins_where_the_first_feature_comes_in(spark):
+    train, _, _ = _three_classes(spark)
+    path = lambda_path(train)
+    assert len(path) == 100 and np.isclose(path[-1] / path[0], 1e-4)
+    used = lambda x: np.abs(elastic_net(train, [x]).coefficientMatrix.toArray()).max()
+    assert used(path[0] * 1.01) < 1e-9 < used(path[0] * 0.9)
+
+
+def test_penalty_is_chosen(spark):
+    train, _, _ = _three_classes(spark)
+    # a penalty that leaves nothing in the model comes first: it must not win
+    for how in ({"folds": 3}, {"folds": 1}, {"folds": 1, "metric": "accuracy"}, {"folds": 3, "standardization": False}):
+        assert np.abs(elastic_net(train, [5.0, 0.01], **how).coefficientMatrix.toArray()).max() > 0.01
+    assert np.allclose(inverse_penalties(train, [0.1, 10]), [1 / 15, 1 / 1500])
+
+
+def test_rolling_windows_cross_validate(spark, monkeypatch):
+    """The queries ask for ten folds over the path, and pass no penalty of their own."""
+    asked = []
+    monkeypatch.setattr(models, "rolling_scores", lambda events, members, quarter, *a, **k: asked.append((a, k.get("folds"), k.get("least_train", 100))) or events.withColumn("rawPrediction", F.col(features_of(events))))
+    features_of = lambda e: "all_features" if "all_features" in e.columns else "features"
+    models.rolling_score(spark, DATA), models.embedding_score(spark, DATA)
+    assert asked == [((), 10, 100)] * 2

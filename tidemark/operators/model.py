@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,14 +24,44 @@ def class_index(category: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in CLASSES.items() for x in pair])[category]
 
 
-def elastic_net(train: DataFrame, lambdas: Sequence[float], alpha: float = 0.5, folds: int = 1, seed: int = 42, iterations: int = 50):
-    """A multinomial model; with several lambdas the one of least cross-validated log loss."""
-    lr = LogisticRegression(family="multinomial", elasticNetParam=alpha, standardization=True, maxIter=iterations, regParam=lambdas[0])
-    if len(lambdas) == 1 or folds < 2:
+def lambda_path(train: DataFrame, alpha: float = 0.5, standardization: bool = True, n: int = 100) -> list[float]:
+    """n penalties in even ratios, from the least that leaves no feature in the model down to a ten
+    thousandth of it, or a hundredth if there are fewer rows than features."""
+    both = train.groupBy("label").agg(F.count("*").alias("n"), Summarizer.mean(F.col("features")).alias("mean")).collect()  # three rows
+    rows = sum(r.n for r in both)
+    mean = sum(r.n / rows * r.mean.toArray() for r in both)
+    # the gradient of the mean loss where all coefficients are zero, for each class and feature
+    gradient = np.array([r.n / rows * (r.mean.toArray() - mean) for r in both])
+    if standardization:
+        sd = train.agg(Summarizer.std(F.col("features")).alias("sd")).first().sd.toArray()
+        gradient = np.divide(gradient, sd, out=np.zeros_like(gradient), where=sd > 0)
+    most = np.abs(gradient).max() / alpha
+    return (most * np.geomspace(1, 0.01 if rows < len(mean) else 1e-4, n)).tolist() if most > 0 else [0.0]
+
+
+def inverse_penalties(train: DataFrame, cs: Sequence[float]) -> list[float]:
+    """The penalties of a loss that is summed, not averaged, and multiplied by C."""
+    n = train.count()
+    return [1 / (c * n) for c in cs]
+
+
+def elastic_net(
+    train: DataFrame, lambdas: Sequence[float] | None = None, alpha: float = 0.5, folds: int = 1, seed: int = 42, iterations: int = 50,
+    standardization: bool = True, metric: str = "logLoss", parallelism: int = 4,
+):
+    """A multinomial model; with several lambdas the one of best cross-validated metric (least log loss,
+    greatest accuracy), or of best metric on the training rows if folds is 1. Without lambdas, those of lambda_path."""
+    lambdas = lambda_path(train, alpha, standardization) if lambdas is None else list(lambdas)
+    lr = LogisticRegression(family="multinomial", elasticNetParam=alpha, standardization=standardization, maxIter=iterations, regParam=lambdas[0])
+    if len(lambdas) == 1:
         return lr.fit(train)
-    grid = ParamGridBuilder().addGrid(lr.regParam, list(lambdas)).build()
-    loss = MulticlassClassificationEvaluator(metricName="logLoss")
-    return CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=loss, numFolds=folds, seed=seed).fit(train).bestModel
+    measure = MulticlassClassificationEvaluator(metricName=metric)
+    if folds < 2:
+        fits = [lr.copy({lr.regParam: x}).fit(train) for x in lambdas]
+        found = [measure.evaluate(m.transform(train)) for m in fits]
+        return fits[int(np.argmax(found) if measure.isLargerBetter() else np.argmin(found))]
+    grid = ParamGridBuilder().addGrid(lr.regParam, lambdas).build()
+    return CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=measure, numFolds=folds, seed=seed, parallelism=parallelism).fit(train).bestModel
 
 
 def log_odds_score(raw: Column) -> Column:
@@ -46,7 +78,7 @@ def logit_score(probability: Column) -> Column:
 
 
 def rolling_scores(
-    events: DataFrame, members: DataFrame, quarter: str, lambdas: Sequence[float], least_train: int = 100, own: Callable[[DataFrame, int], DataFrame] | None = None, **fit
+    events: DataFrame, members: DataFrame, quarter: str, lambdas: Sequence[float] | None = None, least_train: int = 100, own: Callable[[DataFrame, int], DataFrame] | None = None, **fit
 ) -> DataFrame:
     """Each test quarter's events scored by a model of its training quarters only.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators.embed import embedded
-from tidemark.operators.model import CLASSES, class_index, elastic_net, log_odds_score, logit_score, rolling_scores
+from tidemark.operators.model import CLASSES, class_index, elastic_net, inverse_penalties, log_odds_score, logit_score, rolling_scores
 from tidemark.operators.quantiles import exact_quantiles, hfl, rolling_members
 from tidemark.operators.vocab import rolling_vocabulary, term_totals, top_terms
 from tidemark.plans.reports import interval_link_priority, quarter_events
@@ -68,13 +68,14 @@ def _ngram_features(df: DataFrame, terms: int = 1000, min_df: int = 5) -> DataFr
 def en_multinomial_score(spark: SparkSession, folder: str) -> DataFrame:
     """In-sample scores; the penalty by cross-validated log loss."""
     calls = _ngram_features(labelled_calls(spark, folder))
-    model = elastic_net(calls, [0.1, 0.01], folds=3)
+    model = elastic_net(calls, folds=10)
     return model.transform(calls).select("event_id", "permno", log_odds_score(F.col("rawPrediction")).alias("score"))
 
 
 def logit_score_v1(spark: SparkSession, folder: str) -> DataFrame:
+    """In-sample scores; C from a grid by five folds, features as they are."""
     calls = _ngram_features(labelled_calls(spark, folder))
-    model = elastic_net(calls, [0.05])
+    model = elastic_net(calls, inverse_penalties(calls, np.logspace(-3, 1, 10).tolist()), folds=5, standardization=False)
     return model.transform(calls).select("event_id", "permno", logit_score(F.col("probability")).alias("score"))
 
 
@@ -109,7 +110,7 @@ def rolling_score(spark: SparkSession, folder: str) -> DataFrame:
     calls = stored(labelled_calls(spark, folder))
     members = rolling_members(calls, "year", 4)
     featured, own = _window_features(calls, members)
-    scored = rolling_scores(featured, members, "year", [0.05], least_train=50, own=own)
+    scored = rolling_scores(featured, members, "year", own=own, folds=10)
     return scored.select("event_id", "year", log_odds_score(F.col("rawPrediction")).alias("score"))
 
 
@@ -117,7 +118,7 @@ def embedding_score(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors instead of n-grams: class by label, a period per vector."""
     e = read_table(spark, folder, "embeddings")
     e = e.select("vec_id", (F.col("vec_id") % 12).alias("period"), F.element_at(F.array(*map(F.lit, CLASSES.values())), (F.col("label") % 3 + 1).cast("int")).alias("label"), array_to_vector("embedding").alias("features"))
-    scored = rolling_scores(e, rolling_members(e, "period", 8), "period", [0.01])
+    scored = rolling_scores(e, rolling_members(e, "period", 8), "period", folds=10)
     return scored.select("vec_id", "period", log_odds_score(F.col("rawPrediction")).alias("score"))
 
 
