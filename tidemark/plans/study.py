@@ -124,7 +124,7 @@ def portfolio_returns(spark: SparkSession, folder: str) -> DataFrame:
 
 def event_portfolio(spark: SparkSession, folder: str) -> DataFrame:
     events = order_events(spark, folder).withColumn("form_year", portfolios.assign_year(F.col("call_date")))
-    return portfolios.portfolio_of(events, ff6_assign(spark, folder).where("permno % 3 <> 0"), "form_year").select("event_id", "permno", "form_year", "portfolio")
+    return portfolios.portfolio_of(events, ff6_assign(spark, folder), "form_year").select("event_id", "permno", "form_year", "portfolio")
 
 
 def _cars(spark: SparkSession, folder: str) -> DataFrame:
