@@ -1,9 +1,9 @@
 """Queries that once left out rows, against the whole job."""
 
-from pyspark.sql import functions as F
+import os
 
-from tests.harness import DATA, assert_same
-from tidemark.plans import study
+from tests.harness import DATA, assert_same, sql_rows
+from tidemark.plans import study, texts
 
 
 def test_event_portfolio_uses_every_assignment(spark):
@@ -13,3 +13,15 @@ def test_event_portfolio_uses_every_assignment(spark):
     assert_same(spark, study.event_portfolio, sql)
     thirds = study.event_portfolio(spark, DATA).where("permno % 3 = 0")
     assert thirds.where("portfolio <> 'smme'").count() > 0
+
+
+def test_parse_xml_writes_and_reads_both_sections(spark):
+    """Also calls with a Q&A text only; both sections cut and cleaned. A body has 68 characters besides its texts."""
+    clean = texts.CLEAN_SQL[texts.CLEAN_SQL.index("array_to_string") : texts.CLEAN_SQL.index(" t from transcripts")]
+    trim = lambda c: texts._STRIP.format(f"coalesce({c}, '')")
+    sql = f"""with c as (select *, {clean.replace("qa_text", "presentation_text")} p, {clean} q from transcripts where event_id is not null)
+    select event_id, coalesce(last_update, '') last_update, {trim("ticker")} ticker, {trim("company_id")} company_id, {trim("company_name")} company_name,
+     length(coalesce(presentation_text, '')) + length(coalesce(qa_text, '')) + 68 n_chars, md5(p) presentation, md5(q) qa from c where p <> '' or q <> ''"""
+    folder = os.path.join(os.path.dirname(DATA), "sf0.01")
+    assert sql_rows("select count(*) n from transcripts where coalesce(presentation_text, '') = '' and qa_text <> ''", folder).n[0] > 0
+    assert_same(spark, texts.parse_xml, sql, folder)

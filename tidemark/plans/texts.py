@@ -17,12 +17,16 @@ def _text(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
+def _marked(presentation: Column, qa: Column) -> Column:
+    """A body put together with section markers."""
+    rule, dash = F.lit("\n=====\n"), F.lit("\n-----\n")
+    return F.concat(F.lit("Heading"), rule, F.lit("Presentation"), dash, presentation, rule, F.lit("Questions and Answers"), dash, qa)
+
+
 def section_split(spark: SparkSession, folder: str) -> DataFrame:
     """Bodies put together with section markers, and cut again."""
     calls = read_table(spark, folder, "transcripts")
-    rule, dash = F.lit("\n=====\n"), F.lit("\n-----\n")
-    body = F.concat(F.lit("Heading"), rule, F.lit("Presentation"), dash, _text("presentation_text"), rule, F.lit("Questions and Answers"), dash, _text("qa_text"))
-    cut = calls.select("event_id", "last_update", T.sections(body).alias("s"))
+    cut = calls.select("event_id", "last_update", T.sections(_marked(_text("presentation_text"), _text("qa_text"))).alias("s"))
     return cut.select("event_id", "last_update", *[F.md5(T.stripped(F.col(f"s.{c}")).cast("binary")).alias(c) for c in ("presentation", "qa")])
 
 
@@ -125,17 +129,25 @@ select doc_id, term, tf from tt where term in (select term from v)"""
 
 
 def parse_xml(spark: SparkSession, folder: str) -> DataFrame:
-    """Event documents written from the table, and parsed again."""
-    calls = read_table(spark, folder, "transcripts").where("coalesce(presentation_text, '') <> '' and event_id is not null")
+    """Event documents with both sections written from the table, parsed again, cut and cleaned; those
+    of which no section is left are dropped."""
+    calls = read_table(spark, folder, "transcripts").where("coalesce(presentation_text, '') || coalesce(qa_text, '') <> '' and event_id is not null")
     escaped = lambda c: F.replace(F.replace(_text(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     tag = lambda name, c: F.concat(F.lit(f"<{name}>"), escaped(c), F.lit(f"</{name}>"))
+    body = F.replace(_marked(_text("presentation_text"), _text("qa_text")), F.lit("]]>"), F.lit("]]]]><![CDATA[>"))
     xml = F.concat(
         F.lit('<Event eventTypeId="1" Id="'), escaped("event_id"), F.lit('" lastUpdate="'), escaped("last_update"), F.lit('"><EventStory version="'), escaped("story_version"),
-        F.lit('">'), tag("Headline", "headline"), F.lit("<Body><![CDATA["), F.replace(_text("presentation_text"), F.lit("]]>"), F.lit("")), F.lit("]]></Body></EventStory>"),
+        F.lit('">'), tag("Headline", "headline"), F.lit("<Body><![CDATA["), body, F.lit("]]></Body></EventStory>"),
         tag("companyName", "company_name"), tag("companyTicker", "ticker"), tag("companyId", "company_id"), tag("startDate", "start_date_str"), tag("CUSIP", "cusip"), tag("ISIN", "isin"), F.lit("</Event>"),
     )
-    e = calls.select(parsed_event(xml).alias("e")).where("e.event_id is not null")
-    return e.select(*[f"e.{c}" for c in ("event_id", "last_update", "ticker", "company_id", "company_name")], F.length("e.body").alias("n_chars"))
+    # through explode, as a filter on the result would be pushed down and parse or cut each document again
+    once = lambda x: F.explode(F.array(x))
+    e = calls.select(once(parsed_event(xml)).alias("e")).where("e.event_id is not null").select("e.*")
+    e = e.withColumn("s", once(T.sections(F.col("body"))))
+    e = e.withColumn("c", once(F.struct(*[T.clean_speech(F.col(f"s.{c}")).alias(c) for c in ("presentation", "qa")]))).where("c.presentation <> '' or c.qa <> ''")
+    return e.select(
+        "event_id", "last_update", "ticker", "company_id", "company_name", F.length("body").alias("n_chars"), *[F.md5(F.col(f"c.{c}").cast("binary")).alias(c) for c in ("presentation", "qa")]
+    )
 
 
 PARSE_SQL = f"""select event_id, coalesce(last_update, '') last_update, {_STRIP.format("coalesce(ticker, '')")} ticker, {_STRIP.format("coalesce(company_id, '')")} company_id,
