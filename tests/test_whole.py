@@ -3,7 +3,7 @@
 import os
 
 from tests.harness import DATA, assert_same, sql_rows
-from tidemark.plans import study, texts
+from tidemark.plans import reports, study, texts
 
 
 def test_event_portfolio_uses_every_assignment(spark):
@@ -25,3 +25,9 @@ def test_parse_xml_writes_and_reads_both_sections(spark):
     folder = os.path.join(os.path.dirname(DATA), "sf0.01")
     assert sql_rows("select count(*) n from transcripts where coalesce(presentation_text, '') = '' and qa_text <> ''", folder).n[0] > 0
     assert_same(spark, texts.parse_xml, sql, folder)
+
+
+def test_union_holds_firms_of_odd_quarters(spark, monkeypatch):
+    monkeypatch.setattr(reports, "quarter_events", lambda *_: spark.createDataFrame([(1, 8041), (2, 8040)], "permno bigint, q int"))
+    monkeypatch.setattr(reports, "read_table", lambda *_: spark.createDataFrame([(2,), (3,)], "lpermno bigint"))
+    assert sorted(r.permno for r in reports.union_distinct(spark, DATA).collect()) == [1, 2, 3]

@@ -313,8 +313,8 @@ def anti_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def union_distinct(spark: SparkSession, folder: str) -> DataFrame:
-    train = quarter_events(spark, folder).where("q % 2 = 0").select("permno")
-    return train.union(read_table(spark, folder, "crsp_ccmxpf_linktable").select("lpermno")).distinct()
+    events = quarter_events(spark, folder).select("permno")
+    return events.union(read_table(spark, folder, "crsp_ccmxpf_linktable").select("lpermno")).distinct()
 
 
 _NAMES = "select distinct permno, strftime(namedt, '%Y-%m-%d') namedt, ticker from crsp_msenames"
