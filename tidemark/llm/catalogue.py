@@ -129,25 +129,18 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_matches(spark, folder).select("event_id", "permno")
 
 
-def call_turns(spark: SparkSession, folder: str, utterances: bool = True) -> DataFrame:
-    calls = read_table(spark, folder, "transcripts")
-    sections = F.explode(
-        F.array(
-            F.struct(F.lit("presentation").alias("section"), F.col("presentation_text").alias("text")),
-            F.struct(F.lit("qa").alias("section"), F.col("qa_text").alias("text")),
-        )
-    )
-    texts = calls.select("event_id", sections.alias("s")).select("event_id", "s.section", "s.text")
-    return speaker_turns(texts, "event_id", "section", "text", utterances=utterances)
+def call_turns(spark: SparkSession, folder: str) -> DataFrame:
+    calls = read_table(spark, folder, "transcripts").select("event_id", "presentation_text", "qa_text")
+    return speaker_turns(calls, "event_id", {"presentation": "presentation_text", "qa": "qa_text"})
 
 
-def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return call_turns(spark, folder, utterances=False).select("event_id", "section", "turn_no", "speaker", "n_words")
+def p7_turns(spark: SparkSession, folder: str) -> DataFrame:
+    return call_turns(spark, folder).withColumns({c: F.round(c, 3) for c in ("start_s", "end_s")})
 
 
-def p7_turns(spark: SparkSession, folder: str) -> DataFrame:
-    turns = call_turns(spark, folder).withColumn("utterance", F.array_join("words", " "))
-    return turns.select("event_id", "section", "turn_no", "speaker", "utterance", *[F.round(c, 3).alias(c) for c in ("start_s", "end_s")])
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The same turns without their intervals and words."""
+    return p7_turns(spark, folder).select("event_id", "section", "turn_no", "speaker", "n_words")
 
 
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:

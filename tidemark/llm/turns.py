@@ -1,21 +1,29 @@
 """Speech transcripts into clean speaker turns.
 
-Each text is cut into labelled pieces with built-in functions, one row per piece. Labels become
-canonical persons: a label with a first and a last name names the person for every shorter label of
-the same event. Utterances are cleaned of stamps, sound notes and hesitations, empty pieces dropped,
-and pieces of the same speaker that follow each other merged into one interval.
-
-The recording's clock is repaired on the way: a text's stamps are cut into file segments where the
-clock is reset, made monotone within each by isotonic regression, and the segments laid end to end.
+An event's texts meet in one combining aggregate that keeps the longest of each section, so that only
+these are shuffled, once. All that follows stays within the event's row. Each text is cut into
+labelled pieces with built-in functions; utterances are cleaned of stamps, sound notes and
+hesitations there too. Labels, word counts and stamps then go, without the texts, through a small
+function that
+
+* repairs the recording's clock: the stamps of a text are cut into file segments where the clock is
+  reset, made monotone within each by isotonic regression, and the segments laid end to end;
+* gives each piece its canonical person: a label with a first and a last name names the person for
+  every shorter label of the same event;
+* puts the pieces into the order of (segment, repaired clock, place in the text), drops those in which
+  nothing is said, and merges pieces of one speaker that follow each other into one interval.
+
+The fit is monotone in the order of the text, so the clock decides a turn's interval but moves no piece.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _PIECE, _FIELD = "\u0001", "\u0002"
 
@@ -25,7 +33,7 @@ _NOTES = (
 )
 _CLOCK = r"(?:\[\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\]|\(\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\)|\d{1,2}:\d{2}:\d{2}(?:\.\d+)?)"
 _WORD = r"\p{L}[\p{L}'’\-]+"
-_GAP = r"[ \t\u00a0]{1,4}"
+_GAP = r"[ \t]{1,4}"
 _ROLE = (
     r"(?:Analyst|C[EFOT]O|[^\n:<>()\[\]]{0,30}(?:President|Officer|Chair\w*|Director|Treasurer|Relations|Partner|Head of [\p{L} ]+)[\p{L} ,]{0,30})"
 )
@@ -33,39 +41,38 @@ _PERSON = rf"(?:\p{{Lu}}[\p{{L}}'’\-]+{_GAP}\p{{Lu}}[\p{{L}}'’\-]+|\p{{Ll}}[
 _NOBODY = rf"(?:(?i:unidentified|unknown|unnamed){_GAP}{_WORD})"
 _HOST = rf"(?:(?i:(?:conference{_GAP})?operator))"
 _LABEL = rf"(?:{_HOST}|{_NOBODY}|(?!(?i:question|answer|note)\b){_PERSON}(?:,{_GAP}{_ROLE}|{_GAP}\((?i:{_ROLE})\)|{_GAP}-{_GAP}[^\n:<>\[\]]{{2,90}})?)"
+#: Both branches begin with what a character either is or is not: most characters are passed over at once.
 _START = (
     rf"(?m)^[ \t]*((?:>>[ ]*|\[\d{{1,4}}\][ ]+|{_CLOCK}[ ]*)*)"
     rf"(?:<(?!(?i:{_NOTES})>)({_LABEL})>|({_LABEL})(?::(?=\s|\z)|{_GAP}--(?=\s|\z)|{_GAP}\[\d{{1,4}}\][ \t]*$))"
-    rf"|(?<=\s)\[\d{{1,4}}\][ ]((?:{_CLOCK}[ ]*)?)({_LABEL}):(?=\s|\z)"
+    rf"|\[(?<=\s\[)\d{{1,4}}\][ ]((?:{_CLOCK}[ ]*)?)({_LABEL}):(?=\s|\z)"
 )
+_SIGN = r"[a-zA-Z0-9\p{L}\p{N}]"
+_BARE = r"[^a-zA-Z0-9\p{L}\p{N}\s]"
 _HUM = r"(?:[uU]+(?:[hH]+[mM]*|[mM]+)|[eE]+(?:[rR]+[mM]*|[hH]+)|[aA]+[hH]+|[hH]+[mM]+)"
-#: The leading look-ahead lets the engine pass over most characters at once.
 _SPEECHLESS = (
-    rf"(?=[\[(<{{*\duUeEaAhH\u00a0\u2007\u202f])(?:[\[(<{{*](?:\d{{1,2}}:\d{{2}}(?::\d{{2}}(?:\.\d+)?)?|\s*(?i:{_NOTES})\s*)[\])>}}*]"
-    rf"|\d{{1,2}}:\d{{2}}:\d{{2}}(?:\.\d+)?|(?<![\p{{L}}\p{{N}}]){_HUM}(?![\p{{L}}\p{{N}}])|[\u00a0\u2007\u202f])"
+    rf"(^|[^a-zA-Z0-9\p{{L}}\p{{N}}]){_HUM}(?!{_SIGN})"
+    rf"|[\[(<{{*](?:\d{{1,2}}:\d{{2}}(?::\d{{2}}(?:\.\d+)?)?|\s*(?i:{_NOTES})\s*)[\])>}}*]|\d{{1,2}}:\d{{2}}:\d{{2}}(?:\.\d+)?"
 )
-_SPOKEN = r"[\p{L}\p{N}]\S*+"
+_SPACES = r"[\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
+_TURN = "section int, turn_no bigint, speaker string, n_words bigint, start_s double, end_s double, pieces array<int>"
 
-def isotonic(clock: np.ndarray, gap: float) -> np.ndarray:
-    """The clock of one text, repaired. NaN where there is no stamp.
+
+def repaired(stamps: Sequence[float], gap: float) -> tuple[np.ndarray, np.ndarray]:
+    """The stamps of one text, repaired, and the segment of each.
 
     A segment ends where a stamp, and the next one, lie more than gap before the last; a single low
     stamp is an error of its own. Within a segment the stamps become their least-squares monotone
     fit; each segment starts where the one before ended.
     """
-    out = np.full(len(clock), np.nan)
-    at = np.flatnonzero(~np.isnan(clock))
-    if not len(at):
-        return out
-    values = clock[at]
-    cuts = [0]
+    values, cuts = list(stamps), [0]
     for i in range(1, len(values)):
         following = values[min(i + 1, len(values) - 1)]
         if values[i] < values[i - 1] - gap and following < values[i - 1] - gap and i - cuts[-1] > 1:
             cuts.append(i)
-    base = 0.0
-    for start, end in zip(cuts, [*cuts[1:], len(values)], strict=True):
+    out, segment, base = np.empty(len(values)), np.zeros(len(values), int), 0.0
+    for number, (start, end) in enumerate(zip(cuts, [*cuts[1:], len(values)], strict=True)):
         blocks: list[list[float]] = []
         for v in values[start:end]:
             blocks.append([v, 1])
@@ -73,134 +80,167 @@ def isotonic(clock: np.ndarray, gap: float) -> np.ndarray:
                 (a, n), (b, m) = blocks[-2:]
                 blocks[-2:] = [[(a * n + b * m) / (n + m), n + m]]
         fit = np.repeat([b[0] for b in blocks], [int(b[1]) for b in blocks])
-        shift = max(0.0, base - fit[0]) if start else 0.0
-        out[at[start:end]] = fit + shift
-        base = out[at[end - 1]]
+        out[start:end] = fit + (max(0.0, base - fit[0]) if number and len(fit) else 0.0)
+        segment[start:end] = number
+        base = out[end - 1] if end else 0.0
+    return out, segment
+
+
+def canonical(names: list[str]) -> list[str]:
+    """The fullest name that the labels of an event, in order, have for each person.
+
+    A short label that fits several persons means the one who spoke last, else the next to speak."""
+    parts = [(n.split(" ", 1)[0] if " " in n else None, n.rsplit(" ", 1)[-1]) for n in names]
+    full = [f if f and len(f.replace(".", "")) > 1 else None for f, _ in parts]
+    guess: list[list[str | None]] = [[], []]
+    for way, backward in zip(guess, (False, True), strict=True):
+        heard: dict[tuple, str] = {}
+        for i in range(len(parts) - 1, -1, -1) if backward else range(len(parts)):
+            first, last = parts[i]
+            if full[i]:
+                heard[last,] = heard[last, first[0]] = full[i]
+            way.append(heard.get((last, first[0]) if first else (last,)))
+    initials = {last: first for first, last in parts if first}
+    out = []
+    for (first, last), own, before, after in zip(parts, full, guess[0], reversed(guess[1]), strict=True):
+        first = own or before or after or first or initials.get(last)
+        out.append(f"{first} {last}" if first else last)
     return out
 
 
-def _repaired(gap: float):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def repair(clocks: pd.Series) -> pd.Series:
-        return clocks.map(lambda c: None if c is None else [None if np.isnan(x) else float(x) for x in isotonic(np.array(c, float), gap)])
+def piece_clocks(stamps: list[list[float] | None], leads: list[bool | None], gap: float) -> list[tuple[int, float | None, float | None]]:
+    """(segment, when the piece begins, its last stamp) of every piece of a text. A piece that doesn't
+    begin with a stamp begins at the last stamp before it."""
+    fit, segment = repaired([s for own in stamps for s in own or ()], gap)
+    out, at, number, now = [], 0, 0, None
+    for own, lead in zip(stamps, leads, strict=True):
+        n = len(own or ())
+        begin = float(fit[at]) if n and lead else now
+        if n:
+            number, now = int(segment[at] if lead else number), float(fit[at + n - 1])
+        out.append((number, begin, now if n else None))
+        if n:
+            number = int(segment[at + n - 1])
+        at += n
+    return out
 
-    return repair
+
+def merged(sections: list[list[tuple[str, int, int, float | None, float | None]]]) -> list[tuple]:
+    """The turns of an event. Each section is a list of (name, words, segment, begin, last stamp)."""
+    people = iter(canonical([p[0] for pieces in sections for p in pieces if p[0] not in ("operator", "unidentified")]))
+    turns = []
+    for number, pieces in enumerate(sections):
+        who = [p[0] if p[0] in ("operator", "unidentified") else next(people) for p in pieces]
+        order = sorted((p[2], p[3] if p[3] is not None else -1.0, i) for i, p in enumerate(pieces) if p[1] > 0)
+        own: list[list] = []
+        for _, _, i in order:
+            words, begin, last = pieces[i][1], pieces[i][3], pieces[i][4]
+            if own and begin is not None:
+                own[-1][5] = begin if own[-1][5] is None else max(own[-1][5], begin)
+            if not own or own[-1][2] != who[i]:
+                own.append([number, len(own) + 1, who[i], 0, begin, begin, []])
+            own[-1][3] += words
+            own[-1][5] = last if own[-1][5] is None else own[-1][5] if last is None else max(own[-1][5], last)
+            own[-1][6].append(i)
+        turns += own
+    return turns
+
+
+def _turns(gap: float, n_sections: int):
+    @F.arrow_udf(f"array<struct<{_TURN.replace(' ', ':').replace(',:', ',')}>>")
+    def turns(*columns: pa.Array) -> pa.Array:
+        rows = zip(*[c.to_pylist() for c in columns], strict=True)
+        offsets, found = [0], []
+        for row in rows:
+            sections = []
+            for s in range(n_sections):
+                names, words, stamps, leads = row[4 * s : 4 * s + 4]
+                clocks = piece_clocks(stamps or [], leads or [], gap)
+                sections.append([(n, w, *c) for n, w, c in zip(names or [], words or [], clocks, strict=True)])
+            found += merged(sections)
+            offsets.append(len(found))
+        kinds = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int32())]
+        fields = [pa.array([t[i] for t in found], kind) for i, kind in enumerate(kinds)]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, [f.split()[0] for f in _TURN.split(", ")]))
+
+    return turns
 
 
 def _seconds(stamp: Column) -> Column:
     part = F.split(F.regexp_replace(stamp, r"[\[\]()]", ""), ":")
     n = lambda i: F.get(part, F.lit(i)).try_cast("double")
-    return F.when(F.size(part) == 3, n(0) * 3600 + n(1) * 60 + n(2)).when(F.size(part) == 2, n(0) * 60 + n(1))
+    return F.when(F.size(part) == 3, n(0) * 3600 + n(1) * 60 + n(2)).otherwise(n(0) * 60 + n(1))
 
 
 def spoken(utterance: Column) -> Column:
-    """An utterance without clock stamps, notes of sounds or audio trouble, and hesitation noises; all
-    white space is plain."""
-    return F.regexp_replace(utterance, _SPEECHLESS, " ")
+    """The words of an utterance, one space apart, without clock stamps, notes of sounds or audio
+    trouble, hesitation noises, and whatever between white space holds no letter or digit."""
+    said = F.regexp_replace(utterance, _SPEECHLESS, "$1 ")
+    return F.trim(F.regexp_replace(said, rf"(?:^\s*|\s+)(?:{_BARE}+(?:\s+|$))*", " "))
 
 
 def word_number(said: Column) -> Column:
-    """How many pieces between white space hold a letter or digit."""
-    return F.regexp_count(said, F.lit(_SPOKEN))
-
-
-def spoken_words(said: Column) -> Column:
-    return F.filter(F.split(said, r"(?U)\s+"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+    """How many words the result of spoken has."""
+    return F.when(said == "", 0).otherwise(F.length(said) - F.length(F.replace(said, F.lit(" "), F.lit(""))) + 1)
 
 
-def labelled_pieces(texts: DataFrame, event: str, section: str, text: str, gap: float = 30.0) -> DataFrame:
-    """One row per piece: event, section, version (length and hash of the text), pos, clock, kind
-    (operator, unidentified, person), first, last, n (words), words."""
-    marked = F.regexp_replace(
-        F.regexp_replace(text, "\r\n?", "\n"), _START, f"{_PIECE}$1$4{_FIELD}$2$3$5{_FIELD}"
+def _person(label: Column) -> Column:
+    """The name that a label tells: first and last in lower case, operator, or unidentified."""
+    name = F.lower(F.regexp_replace(F.trim(F.regexp_replace(label, r"\s+", " ")), rf" (?:- .*|\(.*\))$|, (?:{_ROLE})$", ""))
+    return (
+        F.when(name.rlike("^(?:conference )?operator$"), "operator")
+        .when((name == "") | name.rlike("^(?:unidentified|unknown|unnamed) "), "unidentified")
+        .otherwise(F.regexp_replace(name, r"^([^, ]+), ([^, ]+)$", "$2 $1"))
     )
-    version = F.struct(F.length(text).alias("length"), F.xxhash64(text).alias("hash"))
-    pieces = texts.select(event, section, version.alias("version"), F.split(marked, _PIECE).alias("__pieces"))
-    # a piece's stamp stands before its label or at the beginning of what is said
-    edges = lambda p: F.concat_ws(" ", F.substring_index(p, _FIELD, 1).substr(1, 40), F.substring_index(p, _FIELD, -1).substr(1, 20))
-    clocks = F.transform("__pieces", lambda p: _seconds(F.regexp_extract(edges(p), _CLOCK, 0)))
-    pieces = pieces.withColumn("__clock", _repaired(gap)(clocks))
-    pieces = pieces.select(event, section, "version", F.posexplode(F.arrays_zip("__pieces", "__clock")).alias("pos", "__z"))
-    part = F.split(F.col("__z.__pieces"), _FIELD)
-    pieces = pieces.select(
-        event,
-        section,
-        "version",
-        "pos",
-        F.col("__z.__clock").alias("clock"),
-        F.trim(F.regexp_replace(F.when(F.size(part) == 3, part[1]).otherwise(F.lit("")), r"\s+", " ")).alias("label"),
-        F.when(F.size(part) == 3, part[2]).otherwise(F.col("__z.__pieces")).alias("said"),
-    ).where("pos > 0 or said rlike '[\\\\p{L}\\\\p{N}]'")
-    pieces = pieces.withColumn("said", spoken(F.col("said")))
-    pieces = pieces.withColumns({"words": spoken_words(F.col("said")), "n": word_number(F.col("said"))})
-    name = F.lower(F.regexp_replace("label", rf" (?:- .*|\(.*\))$|, (?:{_ROLE})$", ""))
-    pieces = pieces.withColumn("name", name)
-    kind = (
-        F.when(F.col("name").rlike("^(?:conference )?operator$"), "operator")
-        .when((F.col("name") == "") | F.col("name").rlike("^(?:unidentified|unknown|unnamed) "), "unidentified")
-        .otherwise("person")
-    )
-    turned = F.regexp_replace("name", r"^([^, ]+), ([^, ]+)$", "$2 $1")
-    pieces = pieces.withColumns({"kind": kind, "name": turned})
-    return pieces.select(
-        event,
-        section,
-        "version",
-        "pos",
-        "clock",
-        "kind",
-        F.when((F.col("kind") == "person") & F.col("name").contains(" "), F.substring_index("name", " ", 1)).alias("first"),
-        F.when(F.col("kind") == "person", F.substring_index("name", " ", -1)).alias("last"),
-        "n",
-        "words",
-    )
-
 
-def speaker_turns(texts: DataFrame, event: str, section: str, text: str, gap: float = 30.0, utterances: bool = True) -> DataFrame:
-    """One row per turn: event, section, turn_no, speaker, n_words, start_s, end_s, and the
-    words unless utterances is false (nothing but labels and counts is shuffled then).
 
-    texts has one row per event and section; if an event has several texts for a section the longest
-    counts (of equally long ones any, but always the same). speaker is `first last` in lower case by the fullest
-    label the event has for the person, `operator`, or `unidentified` (also for words before the
-    first label). A short label that fits several persons means the one who spoke last, else the next
-    to speak. start_s and end_s are seconds of the repaired clock, null without stamps. Null events,
-    and null or empty texts, give no rows; very long texts are processed whole; other columns are
-    left out.
+def with_pieces(df: DataFrame, text: str, into: str) -> DataFrame:
+    """df plus the arrays {into}_names, _said, _words, _stamps, _leads: an entry for every piece of the text."""
+    plain = F.regexp_replace(F.replace(text, F.lit("\r"), F.lit("\n")), _SPACES, " ")
+    cut = F.split(F.regexp_replace(plain, _START, f"{_PIECE}$1$4{_FIELD}$2$3$5{_FIELD}"), _PIECE)
+    field = lambda p, i: F.substring_index(F.substring_index(p, _FIELD, i + 1), _FIELD, -1)
+    # what stands before the first label is said by nobody known
+    first = F.transform(F.slice(cut, 1, 1), lambda p: F.concat(F.lit(_FIELD * 2), p))
+    df = df.withColumn(f"{into}_pieces", F.concat(first, F.slice(cut, 2, 2**31 - 1)))
+    pieces, said = F.col(f"{into}_pieces"), F.col(f"{into}_said")
+    # few pieces hold a colon, and only those may hold a stamp
+    stamps = lambda p: F.when(p.contains(":"), F.transform(F.regexp_extract_all(p, F.lit(_CLOCK), F.lit(0)), _seconds))
+    leads = lambda p: F.when(p.contains(":"), p.rlike(rf"^(?:[^{_FIELD}]*{_CLOCK}|[^{_FIELD}]*{_FIELD}[^{_FIELD}]*{_FIELD}\s*{_CLOCK})"))
+    df = df.withColumn(f"{into}_said", F.transform(pieces, lambda p: spoken(field(p, 2))))
+    return df.withColumns(
+        {
+            f"{into}_names": F.transform(pieces, lambda p: _person(field(p, 1))),
+            f"{into}_words": F.transform(said, word_number),
+            f"{into}_stamps": F.transform(pieces, stamps),
+            f"{into}_leads": F.transform(pieces, leads),
+        }
+    ).drop(f"{into}_pieces")
+
+
+def speaker_turns(calls: DataFrame, event: str, sections: Mapping[str, str], gap: float = 30.0) -> DataFrame:
+    """One row per turn: event, section, turn_no, speaker, n_words, start_s, end_s, utterance.
+
+    sections gives the text column of every section. If an event has several texts for a section the
+    longest counts (of equally long ones any, but always the same). speaker is `first last` in lower
+    case by the fullest label the event has for the person, `operator`, or `unidentified` (also for
+    words before the first label). start_s and end_s are seconds of the repaired clock, null before the
+    first stamp: a turn begins at its own stamp, or at the last one before it, and ends at the latest of
+    its stamps and the beginning of the next turn. Null events, and null or empty texts, give no
+    rows; very long texts are processed whole; other columns are left out. The texts of an event must
+    fit into a row, as they do in the table.
     """
-    known = texts.where(F.col(event).isNotNull() & F.col(section).isNotNull() & F.col(text).isNotNull())
-    pieces = labelled_pieces(known, event, section, text, gap)
-    if not utterances:
-        pieces = pieces.drop("words")
-    # copies of a text meet in a combining aggregate; then all that follows is done on one partitioning
-    pieces = pieces.distinct().repartition(event)
-    longest = F.max("version").over(Window.partitionBy(event, section))
-    pieces = pieces.withColumn("__longest", longest).where("version = __longest")
-    full = F.when(F.length(F.regexp_replace("first", r"\.", "")) > 1, F.col("first"))
-    pieces = pieces.withColumns({"__full": full, "__initial": F.substring("first", 1, 1)})
-    order = [section, "pos"]
-    everyone = Window.partitionBy(event, "last").orderBy(*order)
-    alike = Window.partitionBy(event, "last", "__initial").orderBy(*order)
-
-    def heard(window) -> list[Column]:
-        before = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        after = window.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        return [F.last("__full", True).over(before), F.first("__full", True).over(after)]
-
-    by_initial, by_name = heard(alike), heard(everyone)
-    first = F.when(F.col("__full").isNotNull(), F.col("__full")).when(F.col("first").isNotNull(), F.coalesce(*by_initial, F.col("first")))
-    first = F.coalesce(first, *by_name, F.last("first", True).over(everyone.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    speaker = F.when(F.col("kind") == "person", F.concat_ws(" ", first, "last")).otherwise(F.col("kind"))
-    # a label counts for the names even if nothing is said under it
-    pieces = pieces.withColumn("speaker", speaker).where("n > 0")
-    inside = Window.partitionBy(event, section).orderBy("pos")
-    begins = F.coalesce((F.col("speaker") != F.lag("speaker").over(inside)).cast("int"), F.lit(1))
-    pieces = pieces.withColumn("__begins", begins)
-    pieces = pieces.withColumns({"turn_no": F.sum("__begins").over(inside), "__next": F.lead("clock").over(inside)})
-    said = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "words"))), lambda p: p["words"])) if utterances else None
-    return pieces.groupBy(event, section, "turn_no", "speaker").agg(
-        F.sum("n").cast("bigint").alias("n_words"),
-        F.min("clock").alias("start_s"),
-        F.max(F.coalesce("__next", "clock")).alias("end_s"),
-        *([said.alias("words")] if utterances else []),
+    version = lambda c: F.struct(F.length(c).alias("length"), F.xxhash64(c).alias("hash"), F.col(c).alias("text"))
+    longest = [F.max(F.when(F.length(c) > 0, version(c))).getField("text").alias(f"t{i}") for i, c in enumerate(sections.values())]
+    rows = calls.where(F.col(event).isNotNull()).groupBy(event).agg(*longest)
+    for i in range(len(sections)):
+        rows = with_pieces(rows, f"t{i}", f"s{i}").drop(f"t{i}")
+    told = [f"s{i}_{part}" for i in range(len(sections)) for part in ("names", "words", "stamps", "leads")]
+    rows = rows.withColumn("turn", F.explode(_turns(gap, len(sections))(*told)))
+    said = F.coalesce(*[F.when(F.col("turn.section") == i, F.col(f"s{i}_said")) for i in range(len(sections))])
+    names = F.array(*map(F.lit, sections))
+    return rows.select(
+        event,
+        names[F.col("turn.section")].alias("section"),
+        *[f"turn.{c}" for c in ("turn_no", "speaker", "n_words", "start_s", "end_s")],
+        F.array_join(F.transform("turn.pieces", lambda i: said[i]), " ").alias("utterance"),
     )
