@@ -1,125 +1,103 @@
 """Best representative of each duplicate group by skyline selection.
 
-Records of a group are compared on completeness (which fields they hold), trust, recency and, so
-that the choice is total, their id. The undominated ones form the first layer, those undominated
-among the rest the next, and so on. The policy (trust, then recency, then the smaller id) picks the
-survivor in the first layer; its missing fields are filled from that layer by the same policy, then
-from the following layers.
-
-Since holding a field is a dimension of its own, the policy's best holder of any field is never
-dominated: who dominates it holds the field too and ranks no lower. The first layer therefore fills
-whatever the group can fill; deeper layers are only peeled for completeness="count", where a record
-may be dominated by one that holds other fields.
-
-A layer takes one window per group, ordered by recency, with a running best per cell of (trust,
-completeness). Groups are first thinned in salted parts: who is dominated in its part is dominated
-in its group. So a hot group is spread over tasks, and no task holds a group in memory.
+Records of a group are compared on completeness (how many fields they hold), trust and recency.
+Recency is a total order: of equally recent records the one with the smaller id comes first. The
+undominated records form the first layer, those undominated among the rest the next, and so on.
+The lexicographic policy (trust, then recency) picks the survivor, and for every field its value;
+what the first layer leaves null, or fills worse by the policy than a later layer could, is filled
+from the next layers.
+
+Who is at most as trusted and as complete as another and comes later is dominated, so of each pair of
+trust and completeness only the first by recency can be in a layer: a layer is an aggregate that
+combines before the shuffle, whatever the size of a group, and at most 2 (fields + 1) records of each
+group are compared. After a layer only those records go on that could still improve some field, that
+is, hold it and come earlier by the policy than what fills it. The policy's first record among them is
+undominated, and settles at least one field of its group for good. So fields + 1 layers are always
+enough, and the loop ends by itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.sources import stored
 
 _KEY = "__g"
+_LAST = -(2**62)
 
 
-def _undominated(part: list[str], cells: list[tuple[int, int]], covers) -> Column:
-    """Whether no row of the same part dominates the row."""
-    window = Window.partitionBy(*part).orderBy(F.desc("__recency")).rangeBetween(Window.unboundedPreceding, 0)
-    own = F.struct("__id", (-F.col("__recency")).alias("r"), (-F.col("__trust")).alias("t"), (-F.col("__size")).alias("s"))
-    best = F.lit(None)
-    for trust, held in cells:
-        rivals = [(t, h) for t, h in cells if t >= trust and covers(h, held)]
-        among = F.lit(False)
-        for t, h in rivals:
-            among = among | ((F.col("__trust") == t) & (F.col("__held") == h))
-        here = (F.col("__trust") == trust) & (F.col("__held") == held)
-        least = F.min(F.when(among, own)).over(window)
-        best = F.when(here, least).otherwise(best)
-    return best >= own
+def _undominated(front: Column) -> Column:
+    """Of a group's best by trust and completeness, those that no other dominates."""
+    beats = lambda o, r: (o["trust"] >= r["trust"]) & (o["size"] >= r["size"]) & (o["first"] <= r["first"]) & (o != r)
+    return F.filter(front, lambda r: ~F.exists(front, lambda o: beats(o, r)))
+
+
+def layer(rest: DataFrame) -> DataFrame:
+    """__g, front: the undominated records of every group."""
+    cells = rest.groupBy(_KEY, "trust", "size").agg(F.min(F.struct("first", "v")).alias("r"))
+    fronts = cells.groupBy(_KEY).agg(F.collect_list(F.struct("trust", "size", "r.first", "r.v")).alias("front"))  # at most 2 (fields + 1)
+    return fronts.withColumn("front", _undominated(F.col("front")))
 
 
 def skyline_survivors(
-    records: DataFrame,
-    group: Sequence[str],
-    record_id: str,
-    fields: Sequence[str],
-    trust: Column,
-    recency: Column,
-    completeness: str = "fields",
-    salts: int = 16,
-    max_layers: int = 8,
+    records: DataFrame, group: Sequence[str], record_id: str, fields: Sequence[str], trust: Column, recency: Column
 ) -> DataFrame:
-    """One row per group: the group columns, record_id of the survivor, every field, n_records.
+    """One row per group: the group columns, record_id of the survivor, every field, n_records, and
+    n_layers, the number of dominance layers that were looked at.
 
     trust is a condition (null is false), recency a number (null comes last); the larger is better.
     A field counts as held if it is not null; clean blanks before. Groups of one record survive as
-    they are. Rows with a null group column form groups of their own null value. Exact copies are
-    ties and change nothing but n_records; of a field's values that tie in policy and id the smallest is
-    taken. An empty table gives no rows; other columns are left out.
-    Beyond max_layers (count mode) what is left fills by the policy alone.
+    they are. Rows with a null group column form groups of their own null value. Rows that tie in trust,
+    recency and id are one record, with the smallest value of each field; they, and exact copies, all
+    count in n_records. An empty table gives no rows; other columns are left out.
     """
-    if completeness not in ("fields", "count"):
-        raise ValueError("completeness is 'fields' or 'count'")
-    if completeness == "fields" and len(fields) > 4:
-        raise ValueError("more than four fields: use completeness='count'")
     fields = list(fields)
-    held = [F.col(f"v.{f}").isNotNull().cast("int") for f in fields]
-    size = sum(held, F.lit(0))
-    mask = sum((h * 2**i for i, h in enumerate(held)), F.lit(0)) if completeness == "fields" else size
-    levels = range(2 ** len(fields)) if completeness == "fields" else range(len(fields) + 1)
-    covers = (lambda a, b: a & b == b) if completeness == "fields" else (lambda a, b: a >= b)
-    cells = [(t, h) for t in (0, 1) for h in levels]
-
     rows = records.select(
         F.struct(*group).alias(_KEY),
-        F.col(record_id).alias("__id"),
-        F.coalesce(trust.cast("int"), F.lit(0)).alias("__trust"),
-        F.coalesce(recency.cast("bigint"), F.lit(-(2**62))).alias("__recency"),
-        F.struct(*fields).alias("v"),
-    ).withColumns({"__held": mask, "__size": size})
-    sizes = rows.groupBy(_KEY).agg(F.count("*").alias("n_records"))
-    order = F.struct((-F.col("__trust")).alias("t"), (-F.col("__recency")).alias("r"), "__id")
-    value = lambda f: F.col(f"v.{f}")
-
-    def layer(rest: DataFrame) -> DataFrame:
-        salted = rest.withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(salts)))
-        kept = salted
-        for part in ([_KEY, "__salt"], [_KEY]):
-            kept = kept.withColumn("__front", _undominated(part, cells, covers)).where("__front").drop("__front")
-        return kept.drop("__salt")
-
-    def chosen(part: DataFrame) -> DataFrame:
-        by_policy = [F.min_by("__id", order).alias("__id")]
-        by_policy += [F.min_by(value(f), F.when(value(f).isNotNull(), F.struct(order, value(f)))).alias(f"__f_{f}") for f in fields]
-        return part.groupBy(_KEY).agg(*by_policy)
-
-    best = chosen(layer(rows))
-    if completeness == "count":
-        rest, best, depth = rows, None, 0
-        while True:
-            last = depth == max_layers
-            front = rest if last else stored(layer(rest))
-            more = chosen(front).withColumnsRenamed({f"__f_{f}": f"__m_{f}" for f in fields} | {"__id": "__mid"})
-            if best is None:
-                best = more.withColumnsRenamed({f"__m_{f}": f"__f_{f}" for f in fields} | {"__mid": "__id"})
-            else:
-                best = best.join(more, _KEY, "left").select(
-                    _KEY, "__id", *[F.coalesce(f"__f_{f}", f"__m_{f}").alias(f"__f_{f}") for f in fields]
-                )
-            best, depth = stored(best), depth + 1
-            lacking = best.where(sum((F.col(f"__f_{f}").isNull().cast("int") for f in fields), F.lit(0)) > 0)
-            if last:
-                break
-            same = [rest[c].eqNullSafe(front[c]) for c in (_KEY, "__id", "__trust", "__recency", "v")]
-            rest = stored(rest.join(front, same, "left_anti").join(lacking.select(_KEY), _KEY, "left_semi"))
-            if rest.isEmpty():
-                break
+        F.coalesce(trust.cast("int"), F.lit(0)).alias("trust"),
+        F.struct((-F.coalesce(recency.cast("bigint"), F.lit(_LAST))).alias("late"), F.col(record_id).alias("id")).alias("first"),
+        *[F.col(f).alias(f"__{f}") for f in fields],
+    )
+    rows = rows.groupBy(_KEY, "trust", "first").agg(F.count("*").alias("copies"), F.struct(*[F.min(f"__{f}").alias(f) for f in fields]).alias("v"))
+    rows = stored(rows.withColumn("size", sum((F.col(f"v.{f}").isNotNull().cast("int") for f in fields), F.lit(0))))
+    sizes = rows.groupBy(_KEY).agg(F.sum("copies").alias("n_records"))
+
+    # what fills a slot: the policy's key of its record, and the value; every record fills the slot of the survivor
+    held = lambda r, f: F.lit(True) if f == "id" else r["v"][f].isNotNull()
+
+    def policy(r: Column) -> Column:
+        return F.struct((-r["trust"]).alias("t"), r["first"].alias("f"))
+
+    def filled(front: Column, f: str) -> Column:
+        value = lambda r: F.lit(None).cast("string") if f == "id" else r["v"][f]
+        holders = F.filter(front, lambda r: held(r, f))
+        return F.array_min(F.transform(holders, lambda r: F.struct(policy(r).alias("p"), value(r).alias("x")))).alias(f"b_{f}")
+
+    slots = [f"b_{f}" for f in ("id", *fields)]
+    r = F.struct("trust", "first", "v")
+    useful = F.lit(False)
+    for f in ("id", *fields):
+        useful = useful | (held(r, f) & (F.col(f"b_{f}").isNull() | (policy(r) < F.col(f"b_{f}.p"))))
+    rest, best = rows, None
+    for depth in range(1, len(fields) + 2):
+        more = layer(rest).select(_KEY, *[filled(F.col("front"), f) for f in ("id", *fields)])
+        if best is None:
+            best = more.withColumn("n_layers", F.lit(depth))
+        else:
+            later = more.withColumnsRenamed({s: f"m_{s}" for s in slots})
+            better = lambda s: F.least(s, f"m_{s}")
+            best = best.join(later, _KEY, "left").select(
+                _KEY, *[better(s).alias(s) for s in slots], F.when(F.coalesce(*[f"m_{s}" for s in slots]).isNotNull(), depth).otherwise(F.col("n_layers")).alias("n_layers")
+            )
+        best = stored(best)
+        if depth == len(fields) + 1:
+            break
+        rest = stored(rest.join(best.drop("n_layers"), _KEY).where(useful).select(*rows.columns))
+        if rest.isEmpty():
+            break
     return best.join(sizes, _KEY).select(
-        f"{_KEY}.*", F.col("__id").alias(record_id), *[F.col(f"__f_{f}").alias(f) for f in fields], "n_records"
+        f"{_KEY}.*", F.col("b_id.p.f.id").alias(record_id), *[F.col(f"b_{f}.x").alias(f) for f in fields], "n_records", "n_layers"
     )
