@@ -75,6 +75,16 @@ def tokens(masked: Column) -> Column:
     return F.regexp_extract_all(masked, F.lit(r"(?U)\b[\w#$]+\b"), F.lit(0))
 
 
+def long_tokens(masked: Column) -> Column:
+    """Word runs of two characters at least."""
+    return F.regexp_extract_all(masked, F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+
+
+def joined(presentation: Column, qa: Column) -> Column:
+    """Both sections of a call as one text; null counts as empty."""
+    return stripped(F.concat(F.coalesce(presentation, F.lit("")), F.lit(" "), F.coalesce(qa, F.lit(""))))
+
+
 def without(words: Column, stop_words: list[str] = STOP_WORDS) -> Column:
     return F.filter(words, lambda w: ~w.isin(*stop_words)) if stop_words else words
 

@@ -38,6 +38,12 @@ def mean_pooled(df: DataFrame, group: Sequence[str], vector: str, weight: Column
     return cells.groupBy(*group, "dim").agg((F.sum(F.col("v").cast("double") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1e-9))).alias("x"))
 
 
+def rms_normed(vector: Column, epsilon: float = 1e-6) -> Column:
+    """The vector over the root of its mean square."""
+    squares = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return F.transform(vector, lambda x: x.cast("double") / F.sqrt(squares / F.size(vector) + epsilon))
+
+
 def model_year(day: Column, first: int = 2013, last: int = 2024) -> Column:
     """The latest model trained strictly before the day's year; null if there is none."""
     return F.when(F.year(day) > first, F.least(F.year(day) - 1, F.lit(last)))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import exact_quantiles, with_group_stats
+from tidemark.sources import stored
+
 #: Small or big by low, medium or high book-to-market.
 CODES = ("smlo", "smme", "smhi", "bilo", "bime", "bihi")
 DEFAULT = "smme"
@@ -12,18 +15,15 @@ DEFAULT = "smme"
 
 def breakpoints(firm_years: DataFrame, least: int = 10) -> DataFrame:
     """year, me_median, bm_30, bm_70: of exchange-listed (nyse) firms, or of all if fewer than `least`."""
-    listed = lambda c: F.when(F.col("nyse"), F.col(c))
-    p = lambda c, *at: F.percentile(c, F.array(*map(F.lit, at)))
-    a = firm_years.groupBy("year").agg(
-        F.count_if("nyse").alias("n"), p(listed("me"), 0.5).alias("me_l"), p("me", 0.5).alias("me_a"), p(listed("bm"), 0.3, 0.7).alias("bm_l"), p("bm", 0.3, 0.7).alias("bm_a")
-    )
-    pick = lambda c: F.when(F.col("n") < least, F.col(f"{c}_a")).otherwise(F.col(f"{c}_l"))
-    return a.select("year", F.get(pick("me"), F.lit(0)).alias("me_median"), F.get(pick("bm"), F.lit(0)).alias("bm_30"), F.get(pick("bm"), F.lit(1)).alias("bm_70"))
+    counted = with_group_stats(firm_years, ["year"], __n=F.count_if("nyse")).where((F.col("__n") < least) | F.col("nyse"))
+    size, value = exact_quantiles(counted, ["year"], "me", [0.5], "__me"), exact_quantiles(counted, ["year"], "bm", [0.3, 0.7], "__bm")
+    both = size.join(value, "year", "full")
+    return both.select("year", F.get("__me", F.lit(0)).alias("me_median"), F.get("__bm", F.lit(0)).alias("bm_30"), F.get("__bm", F.lit(1)).alias("bm_70"))
 
 
 def assigned(firm_years: DataFrame, least: int = 10) -> DataFrame:
     """permno, year, portfolio of firm-years with a positive bm. Years are few: their breakpoints are broadcast."""
-    kept = firm_years.where("bm > 0 and me is not null")
+    kept = stored(firm_years.where("bm > 0 and me is not null"))
     size = F.when(F.col("me") <= F.col("me_median"), "sm").otherwise("bi")
     value = F.when(F.col("bm") <= F.col("bm_30"), "lo").when(F.col("bm") <= F.col("bm_70"), "me").otherwise("hi")
     return kept.join(breakpoints(kept, least), "year").select("permno", "year", F.concat(size, value).alias("portfolio"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.quantiles import with_quantiles
+from tidemark.sources import stored
 
 #: Codes that stand for a missing return.
 SENTINELS = (-66.0, -77.0, -88.0, -99.0)
@@ -22,8 +23,9 @@ def drop_sentinels(df: DataFrame, ret: str) -> DataFrame:
 
 
 def winsorized(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99, into: str | None = None) -> DataFrame:
-    """column clipped to its exact quantiles over all rows; nulls stay null."""
-    df = with_quantiles(df, [], column, (low, high), "__b")
+    """column clipped to its exact quantiles over all rows; nulls stay null. df is read several times,
+    and so written first."""
+    df = with_quantiles(stored(df), [], column, (low, high), "__b")
     x = F.col(column)
     clipped = F.when(x.isNotNull(), F.least(F.greatest(x, F.col("__b")[0]), F.col("__b")[1]))
     return df.withColumn(into or column, clipped).drop("__b")

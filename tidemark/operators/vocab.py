@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def term_table(docs: DataFrame, doc: str, words: Column) -> DataFrame:
-    """doc, term, tf."""
-    return docs.select(doc, F.explode(words).alias("term")).groupBy(doc, "term").agg(F.count("*").alias("tf"))
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = [Counter(w) if w else {} for w in batch.column(1).to_pylist()]
+        where = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
+        terms = pa.array([t for c in counts for t in c], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(where)), terms, pa.array([n for c in counts for n in c.values()], pa.int64())], names=["doc", "term", "tf"])
+
+
+def term_table(docs: DataFrame, doc: str, words: Column, vocabulary: DataFrame | None = None) -> DataFrame:
+    """doc, term, tf; of the vocabulary's terms only, if there is one. A row is a document, and its
+    terms are counted within it: nothing is shuffled. Null ids and words give no rows."""
+    rows = docs.select(F.col(doc).alias("doc"), words.alias("words")).where("doc is not null")
+    counts = rows.mapInArrow(_counted, f"doc {rows.schema['doc'].dataType.simpleString()}, term string, tf bigint").withColumnRenamed("doc", doc)
+    return counts.join(vocabulary.select("term"), "term", "left_semi") if vocabulary is not None else counts
 
 
 def term_totals(docs: DataFrame, words: Column, *by: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.stamps import with_stamp
+from tidemark.sources import stored
 
 #: Minutes east of UTC that a clock without zone may run at.
 CANDIDATES = tuple(60 * h for h in range(-10, 13)) + (330,)
@@ -66,7 +67,8 @@ def normalise_stamps(
     read = with_stamp(df.drop(into), stamp, "__stamp")
     clock = F.col("__stamp.clock")
     source = F.coalesce((source if source is not None else F.col("__stamp.spelling")).cast("string"), F.lit(""))
-    read = read.withColumns({"__source": source, "__period": period(clock).cast("int")})
+    # read twice, and its patterns are dear: written once
+    read = stored(read.withColumns({"__source": source, "__period": period(clock).cast("int")}))
     zoneless = read.where(F.col("__stamp").isNotNull() & F.col("__stamp.utc").isNull())
     supposed = lambda minutes: clock - F.make_dt_interval(mins=minutes)
     wrong = sum((F.coalesce(c.cast("int"), F.lit(0)) for c in contradictions(supposed(F.col("minutes")))), F.lit(0))

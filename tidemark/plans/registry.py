@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import known, models, reports, study, texts
+from tidemark.plans import extras, known, models, panels, reports, study, texts
 
-MODULES = (known, study, reports, texts, models)
+MODULES = (known, study, reports, panels, texts, extras, models)
 
 
 def queries() -> dict:

@@ -12,7 +12,7 @@ from tidemark.operators.links import first_by, priority_link, version_dedup
 from tidemark.operators.panel import clustered_ols, demeaned, iteratively_demeaned, pooled_ols, quarter_summary, quintile_spread
 from tidemark.operators.quantiles import bin_by_cutoffs, exact_quantiles, hfl, quarter_number, quintile_within, rolling_members, with_quantiles, year_quarter, zscore
 from tidemark.plans.known import day_text
-from tidemark.sources import read_table
+from tidemark.sources import read_table, stored
 from tidemark.sources.stores import profile
 
 RETURNS = "abnormal_returns"
@@ -124,7 +124,7 @@ mb as (select t.q test_q, s.q train_q from rk t join rk s on s.r between t.r - 8
 
 
 def quintile_in_quarter(spark: SparkSession, folder: str) -> DataFrame:
-    return quintile_within(quarter_events(spark, folder), "yq", "ar").select("event_id", "yq", F.col("quintile").cast("double").alias("quintile"))
+    return quintile_within(stored(quarter_events(spark, folder)), "yq", "ar").select("event_id", "yq", F.col("quintile").cast("double").alias("quintile"))
 
 
 QUINTILE_SQL = f"""with {_QEV}, g as (select yq, list_distinct(quantile_cont(ar, [0.2, 0.4, 0.6000000000000001, 0.8])) edges, min(ar) lo from ev group by 1)
@@ -143,8 +143,8 @@ FIFTHS = (0.2, 0.4, 0.6, 0.8)
 
 def _trained(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The events, and those of each test quarter's training quarters."""
-    events = quarter_events(spark, folder)
-    members = rolling_members(events, "q")
+    events = stored(quarter_events(spark, folder))
+    members = stored(rolling_members(events, "q"))
     return events, events.join(F.broadcast(members), F.col("q") == F.col("train_quarter"))  # eight rows per quarter
 
 
@@ -184,7 +184,7 @@ select event_id, yq, case when ar > cut then 'H' when ar < -cut then 'L' else 'F
 
 
 def _binned(spark: SparkSession, folder: str) -> DataFrame:
-    return quintile_within(quarter_events(spark, folder), "yq", "ar").withColumns({"abs_ret": F.abs("ret"), "sq_ret": F.col("ret") * F.col("ret")})
+    return quintile_within(stored(quarter_events(spark, folder)), "yq", "ar").withColumns({"abs_ret": F.abs("ret"), "sq_ret": F.col("ret") * F.col("ret")})
 
 
 _BINNED = QUINTILE_SQL.replace("select event_id, ev.yq, case", ", b as (select ev.*, abs(ret) abs_ret, ret * ret sq_ret, case").replace("from ev join g using (yq)", "from ev join g using (yq))")
@@ -320,7 +320,7 @@ def union_distinct(spark: SparkSession, folder: str) -> DataFrame:
 _NAMES = "select distinct permno, strftime(namedt, '%Y-%m-%d') namedt, ticker from crsp_msenames"
 SEMI_SQL = _NAMES + " where permno in (select permno from abnormal_returns)"
 ANTI_SQL = _NAMES + " n where not exists (select 1 from crsp_ccmxpf_linktable l where l.lpermno = n.permno and l.linktype = 'LU')"
-UNION_SQL = f"with {_QEV} select permno from ev where q % 2 = 0 union select lpermno from crsp_ccmxpf_linktable"
+UNION_SQL = f"with {_QEV} select permno from ev union select lpermno from crsp_ccmxpf_linktable"
 
 
 def pit_model_assign(spark: SparkSession, folder: str) -> DataFrame:

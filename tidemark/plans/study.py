@@ -16,7 +16,7 @@ from tidemark.operators.returns import (
 )
 from tidemark.operators.trading import asof_position, positions, shift_after_close
 from tidemark.plans.known import day_text
-from tidemark.sources import read_table
+from tidemark.sources import read_table, stored
 
 FACTORS = ("mktrf", "smb", "hml", "umd")
 HORIZONS = (32, 63, 126, 189, 252)
@@ -52,7 +52,7 @@ def order_events(spark: SparkSession, folder: str) -> DataFrame:
 def calendar(spark: SparkSession, folder: str) -> DataFrame:
     """Firm-days that have factors, with positions."""
     daily = daily_returns(spark, folder).join(factors(spark, folder), "dt")
-    return positions(daily.withColumn("exret", F.col("ret") - RF))
+    return stored(positions(daily.withColumn("exret", F.col("ret") - RF)))
 
 
 def _matched(events: DataFrame, days: DataFrame, shift: bool = False) -> DataFrame:
@@ -107,7 +107,7 @@ def firm_years(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ff6_breakpoints(spark: SparkSession, folder: str) -> DataFrame:
-    b = portfolios.breakpoints(firm_years(spark, folder).where("bm > 0"))
+    b = portfolios.breakpoints(stored(firm_years(spark, folder).where("bm > 0")))
     return b.select("year", *[F.round(c, 6).alias(c) for c in ("me_median", "bm_30", "bm_70")])
 
 
@@ -115,11 +115,10 @@ def ff6_assign(spark: SparkSession, folder: str) -> DataFrame:
     return portfolios.assigned(firm_years(spark, folder)).select("permno", "year", "portfolio")
 
 
-def portfolio_returns(spark: SparkSession, folder: str) -> DataFrame:
+def portfolio_returns(daily: DataFrame, assigned: DataFrame) -> DataFrame:
     """The six portfolios' mean return, one row per day."""
-    held = ff6_assign(spark, folder).withColumn("year", F.col("year") + 1)
-    daily = daily_returns(spark, folder).withColumn("year", F.year("dt"))
-    return daily.join(held, ["permno", "year"]).groupBy("dt").agg(*[F.avg(F.when(F.col("portfolio") == c, F.col("ret"))).alias(c) for c in portfolios.CODES])
+    held = assigned.withColumn("year", F.col("year") + 1)
+    return daily.withColumn("year", F.year("dt")).join(held, ["permno", "year"]).groupBy("dt").agg(*[F.avg(F.when(F.col("portfolio") == c, F.col("ret"))).alias(c) for c in portfolios.CODES])
 
 
 def event_portfolio(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,12 +130,13 @@ def _cars(spark: SparkSession, folder: str) -> DataFrame:
     """Forward sums of return minus the event's own portfolio. A frame of rows is the same for all
     events of a firm, so the six differences are summed once per firm-day and each event picks its
     column."""
-    days = positions(daily_returns(spark, folder).join(portfolio_returns(spark, folder), "dt", "left"))
+    daily, held = stored(daily_returns(spark, folder)), stored(ff6_assign(spark, folder))
+    days = positions(daily.join(portfolio_returns(daily, held), "dt", "left"))
     sums = {f"c{h}_{c}": (F.col("ret") - F.col(c), h) for h in HORIZONS for c in portfolios.CODES}
     days = forward_sums(days, sums).where("n_days >= 50").drop("ret", "dt", "n_days", *portfolios.CODES)
     events = order_events(spark, folder).withColumn("form_year", portfolios.assign_year(F.col("call_date")))
-    events = portfolios.portfolio_of(events, ff6_assign(spark, folder), "form_year")
-    placed = asof_position(events, positions(daily_returns(spark, folder)), "call_date", "forward").where("pos is not null")
+    events = portfolios.portfolio_of(events, held, "form_year")
+    placed = asof_position(events, positions(daily), "call_date", "forward").where("pos is not null")
 
     def own(h: int) -> Column:
         chosen = F.col(f"c{h}_{portfolios.DEFAULT}")
@@ -224,7 +224,7 @@ BREAKPOINTS_SQL = f'with {_YEARS} select "year", round(me_median, 6) me_median,
 ASSIGN_SQL = f'with {_YEARS} select permno, "year", portfolio from pf'
 _PORTFOLIO = """evp as (select ev.event_id, ev.permno, ev.call_date, case when month(call_date) >= 7 then year(call_date) else year(call_date) - 1 end form_year from ev)"""
 PORTFOLIO_SQL = f"""with {_EVENTS}, {_YEARS}, {_PORTFOLIO} select event_id, e.permno, form_year, coalesce(a.portfolio, b.portfolio, 'smme') portfolio from evp e
-left join pf a on a.permno = e.permno and a."year" = form_year and a.permno % 3 <> 0 left join pf b on b.permno = e.permno and b."year" = form_year - 1 and b.permno % 3 <> 0"""
+left join pf a on a.permno = e.permno and a."year" = form_year left join pf b on b.permno = e.permno and b."year" = form_year - 1"""
 _CODES = portfolios.CODES
 CAR_SQL = f"""with {_DAILY}, {_EVENTS}, {_YEARS}, {_PORTFOLIO},
 pr as (select dt, {', '.join(f"avg(ret) filter (portfolio = '{c}') {c}" for c in _CODES)} from daily join pf on pf.permno = daily.permno and pf."year" + 1 = year(dt) group by 1),

@@ -121,7 +121,7 @@ def fixed_vocab(spark: SparkSession, folder: str) -> DataFrame:
     docs = _dated(spark, folder)
     early = docs.where((F.col("q") >= 2008 * 4 + 1) & (F.col("q") <= 2009 * 4 + 4))
     vocabulary = top_terms(term_totals(early, _words("text")), 500, 2)
-    return term_table(docs, "doc_id", _words("text")).join(vocabulary.select("term"), "term", "left_semi").select("doc_id", "term", "tf")
+    return term_table(docs, "doc_id", _words("text"), vocabulary).select("doc_id", "term", "tf")
 
 
 FIXED_SQL = f"""with {_TERMS}, v as (select term from tt where q between 8033 and 8040 group by 1 having count(*) >= 2 order by sum(tf) desc, term limit 500)
@@ -150,8 +150,12 @@ def parse_xml(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-PARSE_SQL = f"""select event_id, coalesce(last_update, '') last_update, {_STRIP.format("coalesce(ticker, '')")} ticker, {_STRIP.format("coalesce(company_id, '')")} company_id,
- {_STRIP.format("coalesce(company_name, '')")} company_name, length(presentation_text) n_chars from transcripts where coalesce(presentation_text, '') <> '' and event_id is not null"""
+_CLEANED = """array_to_string(list_filter(list_transform(string_split(regexp_replace(coalesce({c}, ''), '-{{5,}}|={{5,}}|\\[\\d+\\]', '', 'g'), chr(10)),
+ lambda x: {strip}), lambda x: x not in ('', 'Operator', 'OPERATOR')), ' ')"""
+#: A body has 68 characters besides its two texts.
+PARSE_SQL = f"""with c as (select *, {_CLEANED.format(c="presentation_text", strip=_STRIP.format("x"))} p, {_CLEANED.format(c="qa_text", strip=_STRIP.format("x"))} q from transcripts where event_id is not null)
+select event_id, coalesce(last_update, '') last_update, {_STRIP.format("coalesce(ticker, '')")} ticker, {_STRIP.format("coalesce(company_id, '')")} company_id,
+ {_STRIP.format("coalesce(company_name, '')")} company_name, length(coalesce(presentation_text, '')) + length(coalesce(qa_text, '')) + 68 n_chars, md5(p) presentation, md5(q) qa from c where p <> '' or q <> ''"""
 
 
 def start_date_et(spark: SparkSession, folder: str) -> DataFrame:

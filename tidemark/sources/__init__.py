@@ -1 +1 @@
-from tidemark.sources.tables import read_table, shared_dir, stored  # noqa: F401
+from tidemark.sources.tables import drop_stored, read_table, shared_dir, stored  # noqa: F401

@@ -15,6 +15,7 @@ from tidemark.functions.stamps import with_stamp
 from tidemark.functions.text import clean_speech, sections, word_count
 from tidemark.operators.links import version_dedup
 
+#: The fields of a row, and the tags of the documents they are read from.
 _FIELDS = "event_id string, last_update string, story_version string, headline string, body string, company_name string, ticker string, company_id string, start_date_str string, cusip string, isin string"
 _TAGS = {"company_name": "companyName", "ticker": "companyTicker", "company_id": "companyId", "start_date_str": "startDate", "cusip": "CUSIP", "isin": "ISIN"}
 
@@ -85,7 +86,9 @@ def start_in_new_york(df: DataFrame, stamp: str = "start_date_str", headline: st
     )
     df = df.withColumn("__there", there)
     noted = F.regexp_extract(F.coalesce(headline, F.lit("")), r"(\d{1,2}-\w{3}-\d{2,4})\s+\d{1,2}:\d{2}", 1)
-    fallback = F.coalesce(F.try_to_timestamp(noted, F.lit("d-MMM-yy")), F.try_to_timestamp(noted, F.lit("d-MMM-yyyy"))).cast("date")
+    spelled = F.regexp_replace(F.regexp_extract(F.coalesce(headline, F.lit("")), r"([A-Za-z]+ \d{1,2},?\s+\d{4})", 1), r",?\s+(?=\d{4}$)", " ")
+    tries = [(noted, "d-MMM-yy"), (noted, "d-MMM-yyyy"), (spelled, "MMMM d yyyy"), (spelled, "MMM d yyyy")]
+    fallback = F.coalesce(*[F.try_to_timestamp(day, F.lit(form)) for day, form in tries]).cast("date")
     return df.withColumns(
         {"call_date": F.coalesce(F.to_date("__there"), fallback), "is_before_close": F.hour("__there") < 12}
     ).drop("__bare", "__read", "__there")
@@ -95,6 +98,10 @@ def headline_ticker(ticker: Column, headline: Column) -> Column:
     return F.when(F.coalesce(ticker, F.lit("")) != "", ticker).otherwise(F.regexp_extract(F.coalesce(headline, F.lit("")), r"(?i)of\s+(\S+)\s+earnings", 1))
 
 
+def headline_company(company: Column, headline: Column) -> Column:
+    return F.when(F.coalesce(company, F.lit("")) != "", company).otherwise(F.regexp_extract(F.coalesce(headline, F.lit("")), r"(?i)Transcript of\s+(.+?)\s+earnings", 1))
+
+
 def is_preliminary(headline: Column, version: Column) -> Column:
     return F.lower(F.coalesce(headline, F.lit(""))).contains("preliminary") | (F.coalesce(version, F.lit("")) != "Final")
 

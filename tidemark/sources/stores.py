@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import exact_quantiles
+
 
 def write_by(df: DataFrame, path: str, *partitions: str) -> None:
     """Overwrite only the partitions that df holds."""
@@ -50,5 +52,9 @@ def profile(df: DataFrame, key: str, day: str, numbers: list[str], texts: list[s
     stats = [F.count("*").alias("n"), F.countDistinct(key).alias(f"distinct_{key}"), F.min(F.to_date(day)).alias("first_day"), F.max(F.to_date(day)).alias("last_day")]
     stats += [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in (day, *numbers, *texts)]
     stats += [F.avg((F.coalesce(F.length(c), F.lit(0)) > 0).cast("double")).alias(f"filled_{c}") for c in texts]
-    stats += [F.percentile(c, q).alias(f"{c}_p{str(q).replace('0.', '')}") for c in numbers for q in quantiles]
-    return df.agg(*stats)
+    row = df.agg(*stats)
+    for c in numbers:
+        # one row each; a column without a number has none
+        found = exact_quantiles(df, [], c, quantiles, "q").agg(F.first("q").alias("q"))
+        row = row.join(F.broadcast(found)).withColumns({f"{c}_p{str(q).replace('0.', '')}": F.get("q", F.lit(i)) for i, q in enumerate(quantiles)}).drop("q")
+    return row
