@@ -8,7 +8,7 @@ from tidemark.llm.containers import best_fit, fill_containers, token_sizes
 
 def placed(spark, sizes, capacity):
     df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "id bigint, n_tokens bigint")
-    return fill_containers(df, capacity, salts=3).collect()
+    return fill_containers(df, capacity, part=5).collect()
 
 
 @pytest.mark.parametrize("seed", range(3))

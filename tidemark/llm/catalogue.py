@@ -112,17 +112,16 @@ from d group by 1, 2 having count(*) >= 2"""
 
 
 def p6_matches(spark: SparkSession, folder: str) -> DataFrame:
-    """event_id, permno, confidence. Records of one company_id describe one company and are matched together."""
-    calls = read_table(spark, folder, "transcripts").select("event_id", "company_id", "cusip", "ticker", "isin", "company_name")
-    unit = F.coalesce(company_key().cast("string"), F.concat(F.lit("event "), "event_id"))
-    calls = calls.withColumn("unit", unit)
+    """event_id, permno, confidence. Every description, that is, the four attributes as they stand, is
+    matched by itself; an event takes the surest match of its descriptions."""
+    calls = read_table(spark, folder, "transcripts").select("event_id", "cusip", "ticker", "isin", "company_name").where("event_id is not null")
+    told = ["cusip", "ticker", "isin", "company_name"]
+    calls = calls.withColumn("unit", F.to_json(F.struct(*told))).distinct()
     names = read_table(spark, folder, "crsp_msenames").select(F.col("permno").alias("entity"), "ncusip", "ticker", "comnam")
-    links = link_entities(calls, names)
-    return (
-        calls.where("event_id is not null").select("event_id", "unit").distinct().join(links, "unit")
-        .groupBy("event_id", F.col("entity").cast("bigint").alias("permno"))
-        .agg(F.max("confidence").alias("confidence"))
-    )
+    links = link_entities(calls.select("unit", *told).distinct(), names)
+    surest = F.max_by(F.struct("entity", "confidence"), F.struct("confidence", -F.col("entity"))).alias("m")
+    matched = calls.select("event_id", "unit").join(links, "unit").groupBy("event_id").agg(surest)
+    return matched.select("event_id", F.col("m.entity").cast("bigint").alias("permno"), F.col("m.confidence").alias("confidence"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

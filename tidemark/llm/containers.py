@@ -89,31 +89,39 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, i
     return slots
 
 
-def fill_containers(sizes: DataFrame, capacity: int = 2048, salts: int = 32) -> DataFrame:
+def fill_containers(sizes: DataFrame, capacity: int = 2048, part: int = 200_000) -> DataFrame:
     """One row per piece: id, piece, n_tokens, container, place (the first token's position in it).
 
     sizes has id and n_tokens. Items longer than the capacity are cut into full containers and one
     rest; no other item is cut. Items without tokens take no room, at place 0 of container 0. Null
-    sizes count as 0. Repeated ids are items of their own. An empty table gives no rows.
+    sizes count as 0. Repeated ids are items of their own. An empty table gives no rows. Lengths with
+    more than `part` pieces are ranked in parts of about that many, drawn at random and written down.
     """
     n = F.coalesce("n_tokens", F.lit(0))
     pieces = sizes.select("id", n.alias("n"), F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(n / capacity) - 1, F.lit(0)))).alias("piece"))
     pieces = pieces.select("id", F.col("piece").cast("bigint").alias("piece"), F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int").alias("length"))
-    pieces = stored(pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(salts)).cast("int")))
-    parts = pieces.groupBy("length", "salt").count()
-    before = F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = parts.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
-    histogram = {row.length: row.n for row in parts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most capacity + 1 rows
-    slots = sizes.sparkSession.createDataFrame(
-        best_fit(histogram, capacity), "length int, lo bigint, hi bigint, first bigint, each bigint, start bigint"
+    pieces = stored(pieces.withColumn("draw", F.rand()))
+    histogram = {row.length: row.n for row in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity + 1 rows
+    slots: dict[int, list[tuple]] = {}
+    for length, *slot in best_fit(histogram, capacity):
+        slots.setdefault(length, []).append(tuple(slot))
+    plan = sizes.sparkSession.createDataFrame(
+        [(length, -(-histogram[length] // part), own) for length, own in slots.items()],
+        "length int, parts bigint, slots array<struct<lo:bigint,hi:bigint,first:bigint,each:bigint,start:bigint>>",
     )
+    # a row for each of at most capacity + 1 lengths
+    salted = pieces.join(F.broadcast(plan), "length").withColumn("salt", F.floor(F.col("draw") * F.col("parts")))
+    counts = salted.groupBy("length", "salt").count()
+    before = F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece")) - 1
-    ranked = pieces.withColumn("within", within).join(offsets, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("within"))
-    slot = F.broadcast(slots)  # a few ranges for each of at most capacity + 1 lengths
-    return ranked.join(slot, "length").where("rank >= lo and rank < hi").select(
+    ranked = salted.withColumn("within", within).join(offsets, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("within"))
+    ranked = ranked.withColumn("slot", F.element_at(F.filter("slots", lambda s: s["lo"] <= F.col("rank")), -1))
+    at = F.col("rank") - F.col("slot.lo")
+    return ranked.select(
         "id",
         "piece",
         F.col("length").cast("bigint").alias("n_tokens"),
-        (F.col("first") + F.floor((F.col("rank") - F.col("lo")) / F.col("each"))).alias("container"),
-        (F.col("start") + (F.col("rank") - F.col("lo")) % F.col("each") * F.col("length")).alias("place"),
+        (F.col("slot.first") + F.floor(at / F.col("slot.each"))).alias("container"),
+        (F.col("slot.start") + at % F.col("slot.each") * F.col("length")).alias("place"),
     )

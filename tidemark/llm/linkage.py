@@ -82,6 +82,17 @@ def blocking_keys(rows: DataFrame, entity: str) -> DataFrame:
     return rows.where("field <> 'form'").select(entity, F.explode(keys).alias("key")).distinct()
 
 
+def blocked_pairs(units: DataFrame, entities: DataFrame, most: int = 256) -> DataFrame:
+    """unit, entity of all pairs that share a key. The entities of a key, if more than `most`, are split
+    into parts, and the key's units meet each part: all pairs, in tasks of bounded width."""
+    entities = stored(entities)
+    heavy = entities.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    split = entities.join(heavy, "key", "left").select("entity", "key", F.pmod(F.xxhash64("entity"), parts).cast("int").alias("part"))
+    spread = units.join(heavy, "key", "left").select("unit", "key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return spread.join(split, ["key", "part"]).select("unit", "entity").distinct()
+
+
 def _agreement(left: Column, right: Column, field: Column) -> Column:
     near = lambda a, b, most: F.levenshtein(a, b, most) >= 0
     identifier = (
@@ -107,7 +118,7 @@ def candidate_votes(left: DataFrame, right: DataFrame) -> DataFrame:
     A unit's values of a field vote by their frequency: the level that most of its records reach
     with some value the entity ever had.
     """
-    pairs = blocking_keys(left, "unit").join(blocking_keys(right, "entity"), "key").select("unit", "entity").distinct()
+    pairs = blocked_pairs(blocking_keys(left, "unit"), blocking_keys(right, "entity"))
     offered = F.when(F.col("field") == "isin", F.lit("cusip")).otherwise(F.col("field"))
     met = (
         pairs.join(left.withColumn("offered", offered), "unit")
