@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tidemark.llm.linkage import LabelModel, link_entities
+from tidemark.llm.linkage import LabelModel, blocked_pairs, link_entities
 
 LEFT = "unit string, cusip string, ticker string, isin string, company_name string, entity string"
 RIGHT = "entity int, ncusip string, ticker string, comnam string"
@@ -41,6 +41,16 @@ def test_finds_the_firms_and_none_for_others(spark):
     assert all(0.5 <= r.confidence <= 1 for r in got)
 
 
+def test_heavy_blocks_keep_all_pairs(spark):
+    units = [(f"u{i}", f"k{i % 3}") for i in range(30)] * 2
+    entities = [(i, "k0" if i < 40 else f"k{i % 3}") for i in range(60)] * 2
+    expected = {(u, e) for u, k in units for e, o in entities if k == o}
+    u, e = spark.createDataFrame(units, "unit string, key string"), spark.createDataFrame(entities, "entity int, key string")
+    for most in (1, 7, 256):
+        got = [tuple(r) for r in blocked_pairs(u, e, most).collect()]
+        assert set(got) == expected and len(got) == len(expected)
+
+
 def test_nulls_and_empty_tables(spark):
     right = spark.createDataFrame([(1, None, None, None), (None, "1", "A", "B"), (2, "", " ", "N/A")], RIGHT)
     left = spark.createDataFrame([("u", None, None, None, None, None), (None, "1", "A", None, "B", None), ("v", "", "N/A", "x", "  ", None)], LEFT)

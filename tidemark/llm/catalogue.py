@@ -116,7 +116,7 @@ def p6_matches(spark: SparkSession, folder: str) -> DataFrame:
     matched by itself; an event takes the surest match of its descriptions."""
     calls = read_table(spark, folder, "transcripts").select("event_id", "cusip", "ticker", "isin", "company_name").where("event_id is not null")
     told = ["cusip", "ticker", "isin", "company_name"]
-    calls = calls.withColumn("unit", F.to_json(F.struct(*told))).distinct()
+    calls = calls.withColumn("unit", F.unhex(F.md5(F.to_json(F.struct(*told))))).distinct()
     names = read_table(spark, folder, "crsp_msenames").select(F.col("permno").alias("entity"), "ncusip", "ticker", "comnam")
     links = link_entities(calls.select("unit", *told).distinct(), names)
     surest = F.max_by(F.struct("entity", "confidence"), F.struct("confidence", -F.col("entity"))).alias("m")

@@ -70,7 +70,7 @@ def _deletions(word: Column) -> Column:
 
 
 def blocking_keys(rows: DataFrame, entity: str) -> DataFrame:
-    """entity, key: what two records of one company are expected to share at least once."""
+    """entity, key: what two records of one company are expected to share at least once; copies may occur."""
     value, field = F.col("value"), F.col("field")
     stem = F.substring_index("value", " ", 1)
     prefixed = lambda mark, words: F.transform(words, lambda w: F.concat(F.lit(mark), w))
@@ -79,16 +79,17 @@ def blocking_keys(rows: DataFrame, entity: str) -> DataFrame:
         .when(field == "ticker", F.array(F.concat(F.lit("t:"), value)))
         .when((field == "name") & (F.length(stem) >= 4), prefixed("n:", _deletions(stem)))
     )
-    return rows.where("field <> 'form'").select(entity, F.explode(keys).alias("key")).distinct()
+    return rows.where("field <> 'form'").select(entity, F.explode(keys).alias("key"))
 
 
 def blocked_pairs(units: DataFrame, entities: DataFrame, most: int = 256) -> DataFrame:
     """unit, entity of all pairs that share a key. The entities of a key, if more than `most`, are split
     into parts, and the key's units meet each part: all pairs, in tasks of bounded width."""
-    entities = stored(entities)
-    heavy = entities.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias("parts"))
+    entities = stored(entities.distinct())
+    heavy = stored(entities.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias("parts")))
     parts = F.coalesce("parts", F.lit(1))
-    split = entities.join(heavy, "key", "left").select("entity", "key", F.pmod(F.xxhash64("entity"), parts).cast("int").alias("part"))
+    # written, so that Spark knows its size and need not shuffle the units if it is small
+    split = stored(entities.join(heavy, "key", "left").select("entity", "key", F.pmod(F.xxhash64("entity"), parts).cast("int").alias("part")))
     spread = units.join(heavy, "key", "left").select("unit", "key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     return spread.join(split, ["key", "part"]).select("unit", "entity").distinct()
 
@@ -112,25 +113,36 @@ def _agreement(left: Column, right: Column, field: Column) -> Column:
     return F.when(field.isin("cusip", "isin"), identifier).when(field == "ticker", ticker).when(field == "name", name).otherwise(form)
 
 
+def _by_field(rows: DataFrame, key: str, value: Column, fields: tuple[str, ...]) -> DataFrame:
+    """One row per key: for every field the array of what it says."""
+    return rows.groupBy(key).agg(*[F.collect_list(F.when(F.col("field") == f, value)).alias(f"{key}_{f}") for f in fields])
+
+
+def _vote(field: str) -> Column:
+    """The level that most of a unit's records reach with some value the entity ever had; abstains without values."""
+    told, known = F.col(f"unit_{field}"), F.col(f"entity_{'cusip' if field == 'isin' else field}")
+    level = lambda v: F.array_max(F.transform(known, lambda k: _agreement(v["value"], k, F.lit(field))))
+    levels = F.transform(told, lambda v: F.struct(v["n"].alias("n"), level(v).alias("level")))
+
+    def reached(at: int) -> Column:
+        n = F.aggregate(levels, F.lit(0).cast("bigint"), lambda n, v: n + F.when(v["level"] == at, v["n"]).otherwise(0))
+        return F.struct(n.alias("n"), F.lit(at).alias("level"))
+
+    sums = F.array(*[reached(at) for at in range(LEVELS)])
+    vote = F.array_max(F.filter(sums, lambda s: s["n"] > 0))["level"]
+    return F.when((F.size(told) > 0) & (F.size(known) > 0), vote).otherwise(ABSTAIN)
+
+
 def candidate_votes(left: DataFrame, right: DataFrame) -> DataFrame:
     """unit, entity and a vote per field. left has unit, field, value, n; right has entity, field, value.
-
-    A unit's values of a field vote by their frequency: the level that most of its records reach
-    with some value the entity ever had.
-    """
+    A pair's votes are taken within its row."""
     pairs = blocked_pairs(blocking_keys(left, "unit"), blocking_keys(right, "entity"))
-    offered = F.when(F.col("field") == "isin", F.lit("cusip")).otherwise(F.col("field"))
-    met = (
-        pairs.join(left.withColumn("offered", offered), "unit")
-        .join(right.select("entity", F.col("field").alias("offered"), F.col("value").alias("known")), ["entity", "offered"])
-        .groupBy("unit", "entity", "field", "value", "n")
-        .agg(F.max(_agreement(F.col("value"), F.col("known"), F.col("field"))).alias("level"))
-    )
-    weights = met.groupBy("unit", "entity", "field", "level").agg(F.sum("n").alias("n"))
-    votes = weights.groupBy("unit", "entity", "field").agg(F.max(F.struct("n", "level")).getField("level").alias("level"))
-    return votes.groupBy("unit", "entity").agg(
-        *[F.coalesce(F.max(F.when(F.col("field") == f, F.col("level"))), F.lit(ABSTAIN)).alias(f"v_{f}") for f in FIELDS]
-    )
+    known = stored(_by_field(right, "entity", F.col("value"), tuple(f for f in FIELDS if f != "isin")))
+    met = pairs.join(_by_field(left, "unit", F.struct("value", "n"), FIELDS), "unit").join(known, "entity")
+    # through explode, as the filter would else be pushed down and vote again
+    votes = met.select("unit", "entity", F.explode(F.array(F.struct(*[_vote(f).alias(f"v_{f}") for f in FIELDS]))).alias("v")).select("unit", "entity", "v.*")
+    # candidates of which nothing can be compared are none
+    return votes.where(" or ".join(f"v_{f} <> {ABSTAIN}" for f in FIELDS))
 
 
 class LabelModel:
