@@ -5,7 +5,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tests.harness import DATA
-from tidemark.operators.model import elastic_net, inverse_penalties, lambda_path
+from tidemark.operators.model import elastic_net, inverse_penalties, lambda_path, log_odds_score, logit_score, rolling_scores
 from tidemark.plans import models
 
 
@@ -32,7 +32,7 @@ def test_vocabulary_and_cutoff_of_the_training_years_only(spark):
     """A word of the test year or of a year before the window is no feature; the cutoff is the window's."""
     said = {2001: "ancient", 2002: "margin", 2003: "margin", 2004: "future"}
     texts = [(f"{y}-{i}", y, float(i + 1) * (1000 if y in (2001, 2004) else 1), w, w) for y, w in said.items() for i in range(6)]
-    calls = models.with_blocks(spark.createDataFrame(texts, "event_id string, year int, ar double, presentation_text string, qa_text string")).withColumn("label", F.lit(0.0))
+    calls = models.with_blocks(spark.createDataFrame(texts, "event_id string, year int, ar double, presentation_text string, qa_text string")).withColumns({"label": F.lit(0.0), "known": F.col("year")})
     members = spark.createDataFrame([(2003, 2001), (2003, 2002), (2004, 2002), (2004, 2003)], "test_quarter int, train_quarter int")
     featured, own = models._window_features(calls, members)
     got = own(featured, 2004)
@@ -76,3 +76,43 @@ def test_rolling_windows_cross_validate(spark, monkeypatch):
     features_of = lambda e: "all_features" if "all_features" in e.columns else "features"
     models.rolling_score(spark, DATA), models.embedding_score(spark, DATA)
     assert asked == [((), 10, 100)] * 2
+
+
+def test_fit_meets_the_optimality_conditions(spark):
+    """The gradient of the mean loss and the penalty cancel out, on features as they are."""
+    train, x, y = _three_classes(spark)
+    lam, alpha = 0.05, 0.5
+    m = elastic_net(train, [lam], alpha, standardization=False, iterations=500)
+    w, b = m.coefficientMatrix.toArray(), m.interceptVector.toArray()
+    link = x @ w.T + b
+    p = np.exp(link - link.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    gradient = (p - np.eye(3)[y]).T @ x / len(y) + lam * (1 - alpha) * w
+    assert np.allclose(gradient[w != 0], -lam * alpha * np.sign(w[w != 0]), atol=1e-3)
+    assert (np.abs(gradient[w == 0]) <= lam * alpha + 1e-3).all() and (w == 0).any() and (w != 0).any()
+    got = m.transform(train).select(log_odds_score(F.col("rawPrediction")).alias("odds"), logit_score(F.col("probability")).alias("logit")).toPandas()
+    assert np.allclose(got["odds"], np.log(p[:, 2]) - np.log(p[:, 0]), atol=1e-6)
+    assert np.allclose(got["logit"], np.log(p[:, 2] / (1 - p[:, 2])) - np.log(p[:, 0] / (1 - p[:, 0])), atol=1e-6)
+
+
+def test_nothing_of_the_test_year_changes_a_score(spark):
+    """Neither its words, nor its returns, nor a return of a training call that is known only then."""
+    rng = np.random.default_rng(2)
+    words = "margin growth loss charge demand price backlog".split()
+    rows = [
+        (f"{y}-{i}", y, y, float(rng.normal()), " ".join(rng.choice(words, 6)), " ".join(rng.choice(words, 6))) for y in (2001, 2002, 2003) for i in range(60)
+    ]
+    late = [("late", 2002, 2003, 99.0, "margin loss", "price")]
+
+    def scores(rows):
+        calls = models.with_blocks(spark.createDataFrame(rows, "event_id string, year int, known int, ar double, presentation_text string, qa_text string")).withColumn("label", F.lit(0.0))
+        members = spark.createDataFrame([(2003, 2001), (2003, 2002)], "test_quarter int, train_quarter int")
+        featured, own = models._window_features(calls, members)
+        scored = rolling_scores(featured, members, "year", [0.02], own=own)
+        return {r.event_id: r.s for r in scored.select("event_id", log_odds_score(F.col("rawPrediction")).alias("s")).collect()}
+
+    base = scores(rows + late)
+    assert len(base) == 60 and len(set(base.values())) > 10
+    told = [(e, y, k, -ar if y == 2003 else ar, "unheard of " * 50 if e == "2003-0" else p, q) for e, y, k, ar, p, q in rows]
+    again = scores(told + [("late", 2002, 2003, -99.0, "margin loss", "price")])
+    assert {e for e in base if abs(base[e] - again[e]) > 1e-9} <= {"2003-0"}

@@ -1,4 +1,9 @@
-"""Every query of the core against its SQL, or at least its schema."""
+"""Every query of the core against its SQL, or, for models, its keys and values."""
+
+import math
+import os
+import subprocess
+import sys
 
 import pytest
 
@@ -6,7 +11,7 @@ from tests.harness import DATA, assert_same
 from tidemark.plans import registry
 
 QUERIES, ORACLES = registry.queries(), registry.oracles()
-SLOW = {"en_multinomial_score", "rolling_score"}
+SCORES = ("en_multinomial_score", "logit_score_v1", "rolling_score", "embedding_score")
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -14,16 +19,40 @@ def test_equals_sql(spark, name):
     assert_same(spark, QUERIES[name], ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
-def test_runs(spark, name):
-    df = QUERIES[name](spark, DATA)
-    assert len(set(df.columns)) == len(df.columns)
-    assert df.count() >= 0
+def test_only_models_and_the_embedder_have_no_sql():
+    assert set(QUERIES) - set(ORACLES) == {*SCORES, "embed_udf"}
+
+
+@pytest.mark.parametrize("name", ["logit_score_v1", "embedding_score"])
+def test_scores(spark, name):
+    """A finite score for every key, not all alike."""
+    rows = [r.asDict() for r in QUERIES[name](spark, DATA).collect()]
+    keys = [tuple(v for k, v in r.items() if k != "score") for r in rows]
+    assert rows and len(set(keys)) == len(keys) and all(math.isfinite(r["score"]) for r in rows) and len({r["score"] for r in rows}) > 1
+
+
+def test_embedder(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    for r in QUERIES["embed_udf"](spark, DATA).collect():
+        low = docs[r.doc_id].lower()
+        assert len(r.embedding) == 26 and math.isclose(r.embedding[4], low.count("e") / max(1, len(low)), abs_tol=1e-6)
+
+
+def test_stored_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tidemark.sources import shared_dir
+
+    unset = SimpleNamespace(get=lambda key, default=None: default, set=lambda *_: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://there:7077")))
+    assert shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="local[4]"))).startswith("file:")
 
 
-def test_models_run_on_the_smallest_data(spark):
-    for name in sorted(SLOW):
-        assert QUERIES[name](spark, DATA).columns
+def test_core_lists_its_queries_where_the_subpackage_cannot_be_imported():
+    code = "import sys; sys.modules['tidemark.llm.catalogue'] = None; import __spark_entry__ as e; print(len(e.queries()), 'p7_found' in e.queries())"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__)))).stdout.split()
+    assert int(out[0]) == len(QUERIES) and out[1] == "False"
 
 
 def test_entry(spark):

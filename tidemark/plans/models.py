@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators.embed import embedded
+from tidemark.operators.links import version_dedup
 from tidemark.operators.model import CLASSES, class_index, elastic_net, inverse_penalties, log_odds_score, logit_score, rolling_scores
 from tidemark.operators.quantiles import exact_quantiles, hfl, rolling_members
+from tidemark.operators.trading import asof_position, positions
 from tidemark.operators.vocab import rolling_vocabulary, term_totals, top_terms
 from tidemark.plans.reports import interval_link_priority, quarter_events
 from tidemark.sources import read_table, stored
@@ -30,17 +32,26 @@ def with_blocks(texts: DataFrame) -> DataFrame:
     return texts.withColumns({"pres_pairs": T.bigrams(F.col("pres_words")), "qa_pairs": T.bigrams(F.col("qa_words"))}).drop("presentation_text", "qa_text")
 
 
-def labelled_calls(spark: SparkSession, folder: str) -> DataFrame:
-    """Linked calls with their words and pairs, and the class of the firm's mean abnormal return in the call's year."""
-    events = quarter_events(spark, folder).groupBy("permno", F.year("event_date").alias("year")).agg(F.avg("ar").alias("ar"))
-    cut = events.agg(F.percentile(F.abs("ar"), 1 / 3).alias("cut"))
-    classes = events.join(F.broadcast(cut)).select("permno", "year", "ar", class_index(hfl(F.col("ar"), F.col("cut"))).alias("label"))  # cut is one row
-    calls = read_table(spark, folder, "transcripts").where("call_date is not null")
-    # both sections of one version
-    said = F.max(F.struct("presentation_text", "qa_text")).alias("s")
-    texts = calls.groupBy("event_id").agg(F.max(F.year("call_date")).alias("year"), said).select("event_id", "year", "s.*")
-    linked = texts.join(interval_link_priority(spark, folder).select("event_id", "permno"), "event_id").join(classes, ["permno", "year"])
-    return with_blocks(linked)
+def labelled_calls(spark: SparkSession, folder: str, within: int = 92) -> DataFrame:
+    """Linked calls with their words and pairs, and the abnormal return of the firm's first event on or
+    after the call, if it is at most `within` days away. known is the year of that event: only from then
+    on the return can be learned from. label is the class by the cutoff over all."""
+    days = quarter_events(spark, folder).where("ar is not null").groupBy("permno", F.col("event_date").alias("dt")).agg(F.avg("ar").alias("ar"))
+    days = stored(positions(days).select("permno", "dt", "pos", "ar"))
+    calls = read_table(spark, folder, "transcripts").where("call_date is not null and coalesce(event_id, '') <> ''")
+    # one version of each call; its texts are not needed to choose it
+    kept = version_dedup(calls.select("event_id", "last_update", "call_date", "n_words_pres", "n_words_qa"), ["event_id"], "last_update", "event_id")
+    linked = kept.join(interval_link_priority(spark, folder).select("event_id", "permno"), "event_id")
+    placed = asof_position(linked, days, "call_date", "forward").join(days, ["permno", "pos"]).where(F.datediff("dt", "call_date") <= within)
+    placed = stored(placed.select("event_id", "permno", "last_update", F.year("call_date").alias("year"), F.year("dt").alias("known"), "ar"))
+    cut = exact_quantiles(placed, [], F.abs("ar"), [1 / 3], "cut")  # one row
+    labelled = placed.join(F.broadcast(cut)).withColumn("label", class_index(hfl(F.col("ar"), F.col("cut")[0]))).drop("cut")
+    # both sections of one version; of versions with one stamp the longest
+    longest = F.max_by(F.struct("presentation_text", "qa_text"), F.struct(F.length(F.concat_ws("", "presentation_text", "qa_text")).alias("n"), F.xxhash64("presentation_text", "qa_text").alias("h")))
+    same = (F.col("event_id") == F.col("__e")) & F.col("last_update").eqNullSafe(F.col("__u"))
+    wanted = labelled.select(F.col("event_id").alias("__e"), F.col("last_update").alias("__u"))
+    texts = calls.select("event_id", "last_update", "presentation_text", "qa_text").join(wanted, same, "left_semi").groupBy("event_id").agg(longest.alias("s")).select("event_id", "s.*")
+    return with_blocks(labelled.drop("last_update").join(texts, "event_id"))
 
 
 def _log1p(v):
@@ -94,13 +105,15 @@ def _window_features(calls: DataFrame, members: DataFrame, terms: int = 1000, mi
     for b in BLOCKS:
         at |= {(b, t): columns + i for i, t in enumerate(every[b])}
         columns += max(1, len(every[b]))
-    trained = calls.join(F.broadcast(members), F.col("year") == F.col("train_quarter"))  # members: four rows per year
+    trained = calls.join(F.broadcast(members), F.col("year") == F.col("train_quarter")).where("known < test_quarter")  # members: four rows per year
     cuts = {r.test_quarter: r.cut[0] for r in exact_quantiles(trained, ["test_quarter"], F.abs("ar"), [1 / 3], "cut").collect()}  # a row per year
 
     def own(featured: DataFrame, test: int) -> DataFrame:
         kept = [at[b, t] for b in BLOCKS for t in best.get(test, {}).get(b, [])] or [0]
         sliced = VectorSlicer(inputCol="all_features", outputCol="features", indices=kept).transform(featured)
-        return sliced.drop("all_features").withColumn("label", class_index(hfl(F.col("ar"), F.lit(cuts.get(test)).cast("double"))))
+        # a return that is known only in the test year, or later, can't be learned from
+        learned = sliced.where((F.col("year") >= test) | (F.col("known") < test))
+        return learned.drop("all_features").withColumn("label", class_index(hfl(F.col("ar"), F.lit(cuts.get(test)).cast("double"))))
 
     return _block_features(calls.drop("label"), every).withColumnRenamed("features", "all_features"), own
 
