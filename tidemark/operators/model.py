@@ -47,10 +47,12 @@ def inverse_penalties(train: DataFrame, cs: Sequence[float]) -> list[float]:
 
 def elastic_net(
     train: DataFrame, lambdas: Sequence[float] | None = None, alpha: float = 0.5, folds: int = 1, seed: int = 42, iterations: int = 50,
-    standardization: bool = True, metric: str = "logLoss", parallelism: int = 8, penalties: int = 20,
+    standardization: bool = True, metric: str = "logLoss", parallelism: int = 8, penalties: int = 10,
 ):
     """A multinomial model; with several lambdas the one of best cross-validated metric (least log loss,
     greatest accuracy), or of best metric on the training rows if folds is 1. Without lambdas, `penalties` of lambda_path."""
+    # a task for about every 10,000 rows: of a small window's, an iteration is one task and not one per core
+    train = train.coalesce(1 + train.count() // 10_000)
     lambdas = lambda_path(train, alpha, standardization, penalties) if lambdas is None else list(lambdas)
     lr = LogisticRegression(family="multinomial", elasticNetParam=alpha, standardization=standardization, maxIter=iterations, regParam=lambdas[0])
     if len(lambdas) == 1:

@@ -32,7 +32,7 @@ def with_blocks(texts: DataFrame) -> DataFrame:
     return texts.withColumns({"pres_pairs": T.bigrams(F.col("pres_words")), "qa_pairs": T.bigrams(F.col("qa_words"))}).drop("presentation_text", "qa_text")
 
 
-def labelled_calls(spark: SparkSession, folder: str, within: int = 92) -> DataFrame:
+def labelled_calls(spark: SparkSession, folder: str, within: int = 366) -> DataFrame:
     """Linked calls with their words and pairs, and the abnormal return of the firm's first event on or
     after the call, if it is at most `within` days away. known is the year of that event: only from then
     on the return can be learned from. label is the class by the cutoff over all."""
@@ -105,7 +105,7 @@ def _window_features(calls: DataFrame, members: DataFrame, terms: int = 1000, mi
     for b in BLOCKS:
         at |= {(b, t): columns + i for i, t in enumerate(every[b])}
         columns += max(1, len(every[b]))
-    trained = calls.join(F.broadcast(members), F.col("year") == F.col("train_quarter")).where("known < test_quarter")  # members: four rows per year
+    trained = calls.join(F.broadcast(members), F.col("year") == F.col("train_quarter")).where("known < test_quarter")  # members: eight rows per year
     cuts = {r.test_quarter: r.cut[0] for r in exact_quantiles(trained, ["test_quarter"], F.abs("ar"), [1 / 3], "cut").collect()}  # a row per year
 
     def own(featured: DataFrame, test: int) -> DataFrame:
@@ -119,9 +119,9 @@ def _window_features(calls: DataFrame, members: DataFrame, terms: int = 1000, mi
 
 
 def rolling_score(spark: SparkSession, folder: str) -> DataFrame:
-    """Each year's calls, scored by a model of the four years before; vocabularies and class cutoff are those years' too."""
+    """Each year's calls, scored by a model of the eight years before; vocabularies and class cutoff are those years' too."""
     calls = stored(labelled_calls(spark, folder))
-    members = rolling_members(calls, "year", 4)
+    members = rolling_members(calls, "year", 8)
     featured, own = _window_features(calls, members)
     scored = rolling_scores(featured, members, "year", own=own, folds=10)
     return scored.select("event_id", "year", log_odds_score(F.col("rawPrediction")).alias("score"))
