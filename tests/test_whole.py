@@ -17,7 +17,7 @@ def test_event_portfolio_uses_every_assignment(spark):
 
 def test_parse_xml_writes_and_reads_both_sections(spark):
     """Also calls with a Q&A text only; both sections cut and cleaned. A body has 68 characters besides its texts."""
-    clean = texts.CLEAN_SQL[texts.CLEAN_SQL.index("array_to_string") : texts.CLEAN_SQL.index(" t from transcripts")]
+    clean = texts._CLEANED.format(c="qa_text", strip=texts._STRIP.format("x"))
     trim = lambda c: texts._STRIP.format(f"coalesce({c}, '')")
     sql = f"""with c as (select *, {clean.replace("qa_text", "presentation_text")} p, {clean} q from transcripts where event_id is not null)
     select event_id, coalesce(last_update, '') last_update, {trim("ticker")} ticker, {trim("company_id")} company_id, {trim("company_name")} company_name,

@@ -35,12 +35,17 @@ SECTION_SQL = f"""select event_id, last_update, md5({_STRIP.format("coalesce(pre
 
 
 def clean_text(spark: SparkSession, folder: str) -> DataFrame:
-    clean = T.clean_speech(F.col("qa_text"))
-    return read_table(spark, folder, "transcripts").select("event_id", "last_update", F.md5(clean.cast("binary")).alias("clean"), F.length(clean).alias("n"))
+    calls = read_table(spark, folder, "transcripts")
+    clean = {c: T.clean_speech(F.col(f"{c}_text")) for c in ("presentation", "qa")}
+    # through explode, so that each text is cleaned once
+    calls = calls.select("event_id", "last_update", F.explode(F.array(F.struct(*[x.alias(c) for c, x in clean.items()]))).alias("c"))
+    return calls.select("event_id", "last_update", *[F.md5(F.col(f"c.{c}").cast("binary")).alias(c) for c in clean], (F.length("c.presentation") + F.length("c.qa")).alias("n"))
 
 
-CLEAN_SQL = f"""with c as (select event_id, last_update, array_to_string(list_filter(list_transform(string_split(regexp_replace(coalesce(qa_text, ''), '-{{5,}}|={{5,}}|\\[\\d+\\]', '', 'g'), chr(10)),
- lambda x: {_STRIP.format('x')}), lambda x: x not in ('', 'Operator', 'OPERATOR')), ' ') t from transcripts) select event_id, last_update, md5(t) clean, length(t) n from c"""
+_CLEANED = """array_to_string(list_filter(list_transform(string_split(regexp_replace(coalesce({c}, ''), '-{{5,}}|={{5,}}|\\[\\d+\\]', '', 'g'), chr(10)),
+ lambda x: {strip}), lambda x: x not in ('', 'Operator', 'OPERATOR')), ' ')"""
+CLEAN_SQL = f"""with c as (select event_id, last_update, {_CLEANED.format(c="presentation_text", strip=_STRIP.format("x"))} p, {_CLEANED.format(c="qa_text", strip=_STRIP.format("x"))} q from transcripts)
+select event_id, last_update, md5(p) presentation, md5(q) qa, length(p) + length(q) n from c"""
 
 
 def word_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,8 +155,6 @@ def parse_xml(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_CLEANED = """array_to_string(list_filter(list_transform(string_split(regexp_replace(coalesce({c}, ''), '-{{5,}}|={{5,}}|\\[\\d+\\]', '', 'g'), chr(10)),
- lambda x: {strip}), lambda x: x not in ('', 'Operator', 'OPERATOR')), ' ')"""
 #: A body has 68 characters besides its two texts.
 PARSE_SQL = f"""with c as (select *, {_CLEANED.format(c="presentation_text", strip=_STRIP.format("x"))} p, {_CLEANED.format(c="qa_text", strip=_STRIP.format("x"))} q from transcripts where event_id is not null)
 select event_id, coalesce(last_update, '') last_update, {_STRIP.format("coalesce(ticker, '')")} ticker, {_STRIP.format("coalesce(company_id, '')")} company_id,
