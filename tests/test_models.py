@@ -116,3 +116,20 @@ def test_nothing_of_the_test_year_changes_a_score(spark):
     told = [(e, y, k, -ar if y == 2003 else ar, "unheard of " * 50 if e == "2003-0" else p, q) for e, y, k, ar, p, q in rows]
     again = scores(told + [("late", 2002, 2003, -99.0, "margin loss", "price")])
     assert {e for e in base if abs(base[e] - again[e]) > 1e-9} <= {"2003-0"}
+
+
+def test_embedder_reads_windows_of_whole_texts():
+    one, other, both, empty = models.hashed_words(["margin growth growth", "backlog", "margin growth growth backlog", " ?! "], size=1024)
+    mixed = np.array(one) * np.sqrt(np.log1p(1) ** 2 + np.log1p(2) ** 2) + np.array(other) * np.log1p(1)
+    assert np.allclose(both, mixed / np.linalg.norm(mixed)) and not np.any(empty)
+    # a word far behind the first window counts, and a window's counts are damped by themselves
+    long, short = models.hashed_words(["a " * 512 + "b " * 512, "a b"])
+    assert np.allclose(long, short) and models.hashed_words([]) == []
+
+
+def test_embedding_windows_learn_from_what_was_known(spark):
+    rows = [(f"{y}-{i}", y, known, ar) for y, known in ((2001, 2001), (2002, 2003)) for i, ar in enumerate((-3.0, 0.1, 3.0))] + [("t", 2003, 2003, 9.0)]
+    calls = spark.createDataFrame(rows, "event_id string, year int, known int, ar double")
+    own = models._window_labels(calls, spark.createDataFrame([(2003, 2001), (2003, 2002)], "test_quarter int, train_quarter int"))
+    got = {r.event_id: r.label for r in own(calls, 2003).collect()}
+    assert got == {"2001-0": 0.0, "2001-1": 1.0, "2001-2": 2.0, "t": 2.0}

@@ -4,7 +4,7 @@ import zipfile
 from tidemark.operators.embed import diagnostics, embedded
 from tidemark.operators.model import rolling_scores
 from tidemark.sources.events_xml import is_preliminary, headline_ticker, transcripts, xml_files, zipped_xml_files
-from tidemark.sources.stores import read_csv, text_lookup, unfinished, write_by, write_csv
+from tidemark.sources.stores import read_csv, read_database, text_lookup, unfinished, write_by, write_csv
 from tidemark.streaming.versions import event_stream, first_arrivals
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -91,3 +91,16 @@ def test_rolling_scores_never_train_on_the_test_quarter(spark):
     scored = rolling_scores(df, members, "q", [0.001]).collect()
     assert len(scored) == 40 and all(r.prediction != r.label for r in scored)
     assert rolling_scores(df, members, "q", [0.001], least_train=1000).count() == 0
+
+
+def test_database_is_read_in_parts_and_filtered_there(spark):
+    """Spark's own embedded database, in memory."""
+    link = {"url": "jdbc:derby:memory:tidemark;create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    spark.range(100).selectExpr("cast(id as int) PERMNO", "cast(id * 0.5 as double) RET", "date_add(date'2010-01-01', cast(id as int)) DT").write.format("jdbc").options(dbtable="daily", **link).mode("overwrite").save()
+    whole = read_database(spark, link["url"], "select * from daily where permno >= 10", driver=link["driver"])
+    parts = read_database(spark, link["url"], "select * from daily", "PERMNO", ("0", "100"), 4, driver=link["driver"])
+    assert whole.count() == 90 and parts.count() == 100 and parts.rdd.getNumPartitions() == 4
+    few = parts.where("PERMNO in (3, 50) and DT >= date'2010-01-10'")
+    assert [(r.PERMNO, r.RET) for r in few.collect()] == [(50, 25.0)]
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "*In(PERMNO" in plan and "*GreaterThanOrEqual(DT" in plan

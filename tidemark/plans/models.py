@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable
+from zlib import crc32
 
 import numpy as np
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler, VectorSlicer
@@ -32,9 +35,8 @@ def with_blocks(texts: DataFrame) -> DataFrame:
     return texts.withColumns({"pres_pairs": T.bigrams(F.col("pres_words")), "qa_pairs": T.bigrams(F.col("qa_words"))}).drop("presentation_text", "qa_text")
 
 
-def labelled_calls(spark: SparkSession, folder: str, within: int = 366) -> DataFrame:
-    """Linked calls with their words and pairs, and the abnormal return of the firm's first event on or
-    after the call, if it is at most `within` days away. known is the year of that event: only from then
+def labelled_texts(spark: SparkSession, folder: str, within: int = 366) -> DataFrame:
+    """Linked calls with both texts, and the abnormal return of the firm's first event on or after the call, if it is at most `within` days away. known is the year of that event: only from then
     on the return can be learned from. label is the class by the cutoff over all."""
     days = quarter_events(spark, folder).where("ar is not null").groupBy("permno", F.col("event_date").alias("dt")).agg(F.avg("ar").alias("ar"))
     days = stored(positions(days).select("permno", "dt", "pos", "ar"))
@@ -51,7 +53,12 @@ def labelled_calls(spark: SparkSession, folder: str, within: int = 366) -> DataF
     same = (F.col("event_id") == F.col("__e")) & F.col("last_update").eqNullSafe(F.col("__u"))
     wanted = labelled.select(F.col("event_id").alias("__e"), F.col("last_update").alias("__u"))
     texts = calls.select("event_id", "last_update", "presentation_text", "qa_text").join(wanted, same, "left_semi").groupBy("event_id").agg(longest.alias("s")).select("event_id", "s.*")
-    return with_blocks(labelled.drop("last_update").join(texts, "event_id"))
+    return labelled.drop("last_update").join(texts, "event_id")
+
+
+def labelled_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """labelled_texts with words and pairs in place of the texts."""
+    return with_blocks(labelled_texts(spark, folder))
 
 
 def _log1p(v):
@@ -90,6 +97,20 @@ def logit_score_v1(spark: SparkSession, folder: str) -> DataFrame:
     return model.transform(calls).select("event_id", "permno", logit_score(F.col("probability")).alias("score"))
 
 
+def _window_labels(calls: DataFrame, members: DataFrame) -> Callable[[DataFrame, int], DataFrame]:
+    """What gives a window's rows: those of its test year and later, those whose return was known before
+    it, and as label the class by the cutoff of its training calls."""
+    trained = calls.join(F.broadcast(members), F.col("year") == F.col("train_quarter")).where("known < test_quarter")  # members: eight rows per year
+    cuts = {r.test_quarter: r.cut[0] for r in exact_quantiles(trained, ["test_quarter"], F.abs("ar"), [1 / 3], "cut").collect()}  # a row per year
+
+    def own(df: DataFrame, test: int) -> DataFrame:
+        # a return that is known only in the test year, or later, can't be learned from
+        learned = df.where((F.col("year") >= test) | (F.col("known") < test))
+        return learned.withColumn("label", class_index(hfl(F.col("ar"), F.lit(cuts.get(test)).cast("double"))))
+
+    return own
+
+
 def _window_features(calls: DataFrame, members: DataFrame, terms: int = 1000, min_df: int = 5) -> tuple[DataFrame, Callable[[DataFrame, int], DataFrame]]:
     """calls with features over the terms of all windows, and what gives a window's own: the features over
     the vocabularies of its training years, the labels by the cutoff of its training calls.
@@ -105,15 +126,12 @@ def _window_features(calls: DataFrame, members: DataFrame, terms: int = 1000, mi
     for b in BLOCKS:
         at |= {(b, t): columns + i for i, t in enumerate(every[b])}
         columns += max(1, len(every[b]))
-    trained = calls.join(F.broadcast(members), F.col("year") == F.col("train_quarter")).where("known < test_quarter")  # members: eight rows per year
-    cuts = {r.test_quarter: r.cut[0] for r in exact_quantiles(trained, ["test_quarter"], F.abs("ar"), [1 / 3], "cut").collect()}  # a row per year
+    labelled = _window_labels(calls, members)
 
     def own(featured: DataFrame, test: int) -> DataFrame:
         kept = [at[b, t] for b in BLOCKS for t in best.get(test, {}).get(b, [])] or [0]
         sliced = VectorSlicer(inputCol="all_features", outputCol="features", indices=kept).transform(featured)
-        # a return that is known only in the test year, or later, can't be learned from
-        learned = sliced.where((F.col("year") >= test) | (F.col("known") < test))
-        return learned.drop("all_features").withColumn("label", class_index(hfl(F.col("ar"), F.lit(cuts.get(test)).cast("double"))))
+        return labelled(sliced.drop("all_features"), test)
 
     return _block_features(calls.drop("label"), every).withColumnRenamed("features", "all_features"), own
 
@@ -135,18 +153,42 @@ def embedding_score(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("vec_id", "period", log_odds_score(F.col("rawPrediction")).alias("score"))
 
 
-def hashed_profile(texts: list[str]) -> list[list[float]]:
-    """A stand-in for a language model: letter frequencies of the whole text."""
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    low = [t.lower() for t in texts]
-    return [[t.count(c) / max(1, len(t)) for c in letters] for t in low]
+def hashed_words(texts: list[str], size: int = 128, window: int = 512) -> list[list[float]]:
+    """An embedder without a model: words hashed with a sign into `size` places, log1p of a window's
+    counts per word, the windows of at most 512 words pooled by their mean, the vector brought to length
+    one. Texts are read whole; one without words is all zeros."""
+    places: dict[str, tuple[int, float]] = {}
+    vectors = np.zeros((len(texts), size))
+    for vector, text in zip(vectors, texts, strict=True):
+        words = re.findall(r"\w+", text.lower())
+        for begin in range(0, len(words), window):
+            for word, n in Counter(words[begin : begin + window]).items():
+                if word not in places:
+                    code = crc32(word.encode())
+                    places[word] = code % size, 1.0 if code & 1 << 31 else -1.0
+                at, sign = places[word]
+                vector[at] += sign * np.log1p(n)
+    # the mean's divisor falls out with the length
+    lengths = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    return np.divide(vectors, lengths, out=vectors, where=lengths > 0).tolist()
+
+
+def call_embedding_score(spark: SparkSession, folder: str) -> DataFrame:
+    """rolling_score with an embedding of both sections as features."""
+    calls = labelled_texts(spark, folder).drop("label").withColumn("said", T.joined(F.col("presentation_text"), F.col("qa_text")))
+    calls = embedded(calls.drop("presentation_text", "qa_text"), "said", hashed_words).drop("said")
+    calls = stored(calls.withColumn("features", array_to_vector("embedding")).drop("embedding"))
+    members = rolling_members(calls, "year", 8)
+    scored = rolling_scores(calls, members, "year", own=_window_labels(calls, members), folds=10)
+    return scored.select("event_id", "year", log_odds_score(F.col("rawPrediction")).alias("score"))
 
 
 def embed_udf(spark: SparkSession, folder: str) -> DataFrame:
-    return embedded(read_table(spark, folder, "documents").select("doc_id", "text"), "text", hashed_profile).select("doc_id", "embedding")
+    return embedded(read_table(spark, folder, "documents").select("doc_id", "text"), "text", hashed_words).select("doc_id", "embedding")
 
 
 QUERIES = {
-    "en_multinomial_score": en_multinomial_score, "logit_score_v1": logit_score_v1, "rolling_score": rolling_score, "embedding_score": embedding_score, "embed_udf": embed_udf,
+    "en_multinomial_score": en_multinomial_score, "logit_score_v1": logit_score_v1, "rolling_score": rolling_score, "embedding_score": embedding_score, "call_embedding_score": call_embedding_score,
+    "embed_udf": embed_udf,
 }
 ORACLES: dict[str, str] = {}
