@@ -1,6 +1,6 @@
 import random
 
-from tidemark.llm.reading import boundary, is_english, reading_bands, words_of
+from tidemark.llm.reading import FUNCTION_WORDS, boundary, function_words, is_english, reading_bands, words_of
 import numpy as np
 
 GLUE = "the of and to in is that for with on".split()
@@ -61,3 +61,19 @@ def test_helpers():
     assert is_english("the cat is in the house and it was there".split()) and not is_english("le chat est dans la maison et les".split()) and not is_english([])
     at, bound = boundary(np.array([[1.0, 1], [1, 2], [2, 8], [1, 9]]), np.array([False, False, True, True]))
     assert at == 1 and bound == 5
+
+
+def test_function_words_are_learned_from_labels(spark):
+    """A language the fixed lists don't know is told apart; labels unevenly written, some wrong, null or blank."""
+    rng = random.Random(3)
+    docs, labels, truth = world(120)
+    ours = "zum ix qor vel anta the in".split()
+    strange = [(1000 + i, " ".join(rng.choices(ours, k=60)), rng.choice(["xx", "XX-yy", " xx ", "en", None])) for i in range(80)]
+    docs = [(i, t, rng.choice(["en", "English", "EN-us", "xx", None, ""]) if i % 5 else "eng") for i, t, _ in docs] + strange
+    docs += [(2000, None, "en"), (2001, "", "xx"), (2002, "rare", "zz")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    known = function_words(d, "text", "lang", 1_000)
+    assert set(known) == {"en", "xx"} and known["xx"]["qor"] > known["en"].get("qor", 0) and known["en"]["of"] > known["xx"].get("of", 0)
+    got = {r.id for r in reading_bands(d, spark.createDataFrame(labels, "doc_id bigint, grader string, band int"), language="lang").collect()}
+    assert got == set(truth)
+    assert function_words(d.where("lang = 'xx'"), "text", "lang", 1_000) is FUNCTION_WORDS

@@ -159,7 +159,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    bands = reading_bands(read_table(spark, folder, "documents"), read_table(spark, folder, "reading_labels"))
+    bands = reading_bands(read_table(spark, folder, "documents"), read_table(spark, folder, "reading_labels"), language="lang")
     return bands.select(F.col("id").alias("doc_id"), F.col("band").cast("bigint").alias("band"))
 
 

@@ -2,14 +2,17 @@
 
 Graded texts tell at which grade a word is acquired: its mean band over the bands' shares of texts
 that use it. A document's level is read from the quantiles of its known words' grades, calibrated
-on the graded documents. Language is decided by function words, whatever the record says.
+on the graded documents. Language is decided by function words, whatever the record says; which
+words those are is learned from the records' own, unreliable, labels.
 """
 
 from __future__ import annotations
 
 import html
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from itertools import repeat
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +22,12 @@ from pyspark.sql import functions as F
 
 from tidemark.sources import stored
 
-#: Function words that tell languages apart.
+#: Function words that tell languages apart where no labels do, all of one weight.
 FUNCTION_WORDS = {
-    "en": "the of and to in is that it for was on are with as at be this have from or had by but not what were we there can an they which you will if more when so no our has its us than how did does do them their these those his her my your i he she".split(),
-    "de": "der die das und ist von zu den mit sich des auf für nicht ein eine einer dem im wird sind auch als wir uns nach bei aus wie werden wurde haben hat war durch über noch einen oder am zum zur".split(),
-    "fr": "le la les de des et est en un une du que qui dans pour par sur au aux avec ce cette ces nous vous il elle sont été plus ne pas se son sa ses notre nos mais ou ont leur".split(),
-    "es": "el la los las de y en que es un una del por con para su sus al se no lo como más pero fue ha han son este esta estos estas nuestro nuestra nos entre sobre desde también".split(),
+    "en": dict.fromkeys("the of and to in is that it for was on are with as at be this have from or had by but not what were we there can an they which you will if more when so no our has its us than how did does do them their these those his her my your i he she".split(), 1.0),
+    "de": dict.fromkeys("der die das und ist von zu den mit sich des auf für nicht ein eine einer dem im wird sind auch als wir uns nach bei aus wie werden wurde haben hat war durch über noch einen oder am zum zur".split(), 1.0),
+    "fr": dict.fromkeys("le la les de des et est en un une du que qui dans pour par sur au aux avec ce cette ces nous vous il elle sont été plus ne pas se son sa ses notre nos mais ou ont leur".split(), 1.0),
+    "es": dict.fromkeys("el la los las de y en que es un una del por con para su sus al se no lo como más pero fue ha han son este esta estos estas nuestro nuestra nos entre sobre desde también".split(), 1.0),
 }
 QUANTILES = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 
@@ -36,10 +39,11 @@ def words_of(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(unicodedata.normalize("NFKC", html.unescape(_TAG.sub(" ", text))))]
 
 
-def is_english(words: list[str]) -> bool:
-    """Whether English function words are frequent, and more so than those of the other languages."""
-    counts = {lang: sum(map(set(known).__contains__, words)) for lang, known in FUNCTION_WORDS.items()}
-    return counts["en"] >= 0.08 * len(words) and all(counts["en"] > n for lang, n in counts.items() if lang != "en")
+def is_english(words: list[str], known: Mapping[str, Mapping[str, float]] = FUNCTION_WORDS) -> bool:
+    """Whether English function words are frequent, and weigh more than those of each other language."""
+    weight = {lang: sum(map(own.get, words, repeat(0.0))) for lang, own in known.items()}
+    frequent = sum(map(known["en"].__contains__, words)) >= 0.08 * len(words)
+    return frequent and all(weight["en"] > w for lang, w in weight.items() if lang != "en")
 
 
 def _explode_words(kind: pa.DataType):
@@ -55,9 +59,9 @@ def _explode_words(kind: pa.DataType):
     return distinct_words
 
 
-def _profile(grades, least_words: int, least_pieces: int, schema: pa.Schema):
+def _profile(grades, languages, least_words: int, least_pieces: int, schema: pa.Schema):
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, cuts = grades.value, np.array(QUANTILES)
+        known, spoken, cuts = grades.value, languages.value, np.array(QUANTILES)
         middle = float(np.median(list(known.values()))) if known else 0.0
         for batch in batches:
             ids, rows = [], []
@@ -65,7 +69,7 @@ def _profile(grades, least_words: int, least_pieces: int, schema: pa.Schema):
                 if not text or len(text.split()) < least_pieces:
                     continue
                 words = words_of(text)
-                if not is_english(words):
+                if not is_english(words, spoken):
                     continue
                 own = np.array([g for g in map(known.get, words) if g is not None])
                 ids.append(key)
@@ -92,6 +96,35 @@ def boundary(quantiles: np.ndarray, above: np.ndarray) -> tuple[int, float]:
     return (best[3], best[4]) if best else (0, np.inf)
 
 
+def function_words(documents: DataFrame, text: str, language: str, most: int, per_language: int = 300, least_share: float = 0.02, least_docs: int = 20) -> Mapping[str, Mapping[str, float]]:
+    """Per language the words that the largest share of its documents hold, each with the logarithm of that
+    share over least_share as weight, so that wrong labels only lessen the weights; learned from at most `most` labelled documents, those first by hash.
+
+    A label counts up to its first sign that is no letter, in any case; all labels beginning with "en" are
+    one language. Languages of fewer than least_docs documents in the sample are left out. Without enough
+    English ones the fixed lists hold."""
+    name = F.regexp_extract(F.lower(F.trim(language)), r"^\p{L}+", 0)
+    name = F.when(name.startswith("en"), "en").otherwise(name)
+    labelled = documents.select(F.xxhash64(text).alias("h"), F.col(text).alias("text"), name.alias("lang")).where("lang <> '' and text is not null")
+    # the hashes first, so that the sample is drawn without its texts
+    drawn = stored(labelled.select("h", "lang").distinct().orderBy("h", "lang").limit(most))
+    sizes = drawn.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).orderBy(F.desc("n"), "lang").collect()  # at most `most` / least_docs rows
+    codes = {r.lang: i for i, r in enumerate(sizes)}
+    if "en" not in codes:
+        return FUNCTION_WORDS
+    code = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])[F.col("lang")].cast("int")
+    texts = labelled.join(F.broadcast(drawn), ["h", "lang"], "left_semi").dropDuplicates(["h", "lang"]).select("text", code.alias("code")).where("code is not null")
+    held = texts.mapInArrow(_explode_words(pa.int32()), "band int, word string").groupBy("band", "word").count()
+    first = Window.partitionBy("band").orderBy(F.desc("count"), "word")
+    rows = held.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).collect()  # per_language rows a language
+    learned: dict[str, dict[str, float]] = {lang: {} for lang in codes}
+    for row in rows:
+        lang, docs = sizes[row.band]
+        if row["count"] > least_share * docs:
+            learned[lang][row.word] = log(row["count"] / docs / least_share)
+    return learned
+
+
 def graded_documents(labels: DataFrame, doc_id: str, band: str, most: int) -> DataFrame:
     """id, band: the band most graders gave (ties: none), of at most `most` documents, those first by hash."""
     votes = labels.where(f"{doc_id} is not null and {band} is not null").distinct().groupBy(F.col(doc_id).alias("id"), F.col(band).cast("int").alias("band")).count()
@@ -122,6 +155,8 @@ def reading_bands(
     most_labels: int = 50_000,
     most_words: int = 500_000,
     least_docs: int = 2,
+    language: str | None = None,
+    most_labelled: int = 5_000,
 ) -> DataFrame:
     """id, band of every English document of at least least_pieces pieces between white space.
 
@@ -129,7 +164,8 @@ def reading_bands(
     those in most of them; every document is graded. Null or empty texts have no band. Documents with
     fewer than least_words known words count as of the middle grade. Labels are votes: null bands
     are skipped, copies count once, graders that tie say nothing. Without labels, or with labels of a
-    single band, that band (or none) is given. Copies of a document each come out; ids must be unique.
+    single band, that band (or none) is given. language names a column of language labels, from at most
+    most_labelled of which the function words are learned; without it fixed lists hold. Copies of a document each come out; ids must be unique.
     """
     spark = documents.sparkSession
     texts = documents.select(F.col(doc[0]).alias("id"), F.col(doc[1]).alias("text"))
@@ -140,7 +176,8 @@ def reading_bands(
 
     kind = texts.schema["id"].dataType
     schema = pa.schema([("id", to_arrow_type(kind)), ("q", pa.list_(pa.float64()))])
-    profile = _profile(spark.sparkContext.broadcast(known), least_words, least_pieces, schema)
+    spoken = function_words(documents, doc[1], language, most_labelled) if language else FUNCTION_WORDS
+    profile = _profile(spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(spoken), least_words, least_pieces, schema)
     profiles = texts.mapInArrow(profile, f"id {kind.simpleString()}, q array<double>")
     seen = texts.join(agreed, "id", "left_semi").mapInArrow(profile, f"id {kind.simpleString()}, q array<double>").join(agreed, "id")
     rows = seen.select("q", "band").collect()  # at most most_labels rows
