@@ -9,6 +9,7 @@ words those are is learned from the records' own, unreliable, labels.
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from collections.abc import Iterator, Mapping
 from itertools import repeat
@@ -32,11 +33,26 @@ FUNCTION_WORDS = {
 QUANTILES = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 
 _TAG = regex.compile(r"<[^<>\n]{1,60}>")
-_WORD = regex.compile(r"\p{L}+")
+_WORD, _PLAIN_WORD = regex.compile(r"\p{L}+"), re.compile("[a-z]+")
 
 
 def words_of(text: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(unicodedata.normalize("NFKC", html.unescape(_TAG.sub(" ", text))))]
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    if "&" in text:
+        text = html.unescape(text)
+    if text.isascii():
+        return _PLAIN_WORD.findall(text.lower())
+    return [w.lower() for w in _WORD.findall(unicodedata.normalize("NFKC", text))]
+
+
+def quantiles_of(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The quantiles of a few values, between neighbours by their distance; for small arrays numpy's own are dear."""
+    values = np.sort(values)
+    at = cuts * (len(values) - 1)
+    low = at.astype(np.int64)
+    below = values[low]
+    return below + (at - low) * (values[np.minimum(low + 1, len(values) - 1)] - below)
 
 
 def is_english(words: list[str], known: Mapping[str, Mapping[str, float]] = FUNCTION_WORDS) -> bool:
@@ -73,7 +89,7 @@ def _profile(grades, languages, least_words: int, least_pieces: int, schema: pa.
                     continue
                 own = np.array([g for g in map(known.get, words) if g is not None])
                 ids.append(key)
-                rows.append((np.quantile(own, cuts) if len(own) >= least_words else np.full(len(cuts), middle)).tolist())
+                rows.append((quantiles_of(own, cuts) if len(own) >= least_words else np.full(len(cuts), middle)).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(ids, schema.field(0).type), pa.array(rows, schema.field(1).type)], schema=schema)
 
     return profiles
