@@ -4,6 +4,7 @@ from collections import Counter
 import regex
 from pyspark.sql import functions as F
 
+from tidemark.llm import terms
 from tidemark.llm.terms import mark_terms, term_counts
 
 
@@ -42,3 +43,11 @@ def test_marks(spark):
 
 def test_empty(spark):
     assert run(spark, []) == {} and run(spark, [None, ""]) == {}
+
+
+def test_faster_patterns_give_the_same_terms():
+    odd = ["", "Plain TEXT, 3rd-party_name's", "x² ½cup Ⅷ a①b", "İstanbul Straße ΣΑΣ naïve e\u0301t\u0301e", "١٢ عدد 漢字かな ǅ", "ﬁrm\u00a0of\u200bone", "ªº ʰa"]
+    exact = regex.compile(terms.LETTERS)
+    for text in odd:
+        assert terms._finder(terms.LETTERS)(text) == [t.lower() for t in exact.findall(text)]
+    assert terms._finder(r"\S+")("A b² C") == ["a", "b²", "c"] and terms._finder(terms.LETTERS)(None) == []

@@ -10,8 +10,9 @@ tables are united.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +26,32 @@ LETTERS = r"\p{L}+"
 _COUNTS = "term string, occurrences bigint, records bigint"
 
 
-def _tokens(text: str | None, pattern: regex.Pattern) -> list[str]:
-    return [t.lower() for t in pattern.findall(text)] if text else []
+_PLAIN, _NEARLY = re.compile("[a-z]+"), re.compile(r"[^\W\d_]+")
+
+
+def _finder(pattern: str) -> Callable[[str | None], list[str]]:
+    """What gives a text's terms in lower case. Letters are found by faster patterns where these give the same."""
+    exact = regex.compile(pattern).findall
+
+    def letters(text: str | None) -> list[str]:
+        if not text:
+            return []
+        if text.isascii():
+            return _PLAIN.findall(text.lower())
+        found = _NEARLY.findall(text)
+        # the faster pattern also takes numerals such as a raised two
+        return [t.lower() for t in (found if all(map(str.isalpha, found)) else exact(text))]
+
+    return letters if pattern == LETTERS else lambda text: [t.lower() for t in exact(text)] if text else []
 
 
 def _summary(slots: int, pattern: str):
     def heavy_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Misra-Gries over batches: merge, then subtract the (slots+1)-th count from all."""
-        find, kept = regex.compile(pattern), Counter()
+        terms, kept = _finder(pattern), Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                kept.update(_tokens(text, find))
+                kept.update(terms(text))
                 if len(kept) > 8 * slots:
                     kept = _cut(kept, slots)
         kept = _cut(kept, slots)
@@ -55,7 +71,7 @@ def _counter(index, pattern: str, room: int):
     schema = pa.schema([("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())])
 
     def counts_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, places = regex.compile(pattern), index.value
+        terms, places = _finder(pattern), index.value
         total, held = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
         light: dict[str, list[int]] = {}
 
@@ -66,7 +82,7 @@ def _counter(index, pattern: str, room: int):
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for term, n in Counter(_tokens(text, find)).items():
+                for term, n in Counter(terms(text)).items():
                     if (at := places.get(term)) is not None:
                         total[at] += n
                         held[at] += 1
